@@ -10,12 +10,14 @@ from cellweave.llm.packing import op4_packing
 from cellweave.llm.quality_model import op2_quality_classifier
 from cellweave.llm.quality_rules import OP8_SQL, op8_quality_rules
 from cellweave.llm.sharding import op10_sharding
+from cellweave.llm.suffix_dedup import op6_suffix_dedup
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
