@@ -6,6 +6,7 @@ from cellweave.llm.chat_format import OP3_SQL, op3_chat_format
 from cellweave.llm.decontaminate import OP9_SQL, op9_decontamination
 from cellweave.llm.html_extract import op1_html_extraction
 from cellweave.llm.language_id import op7_language_id
+from cellweave.llm.ngram_join import op5_ngram_join
 from cellweave.llm.packing import op4_packing
 from cellweave.llm.quality_model import op2_quality_classifier
 from cellweave.llm.quality_rules import OP8_SQL, op8_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
