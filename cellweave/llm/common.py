@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave import session
+
 #: Rows that cross to a Python worker at once. Documents may be megabytes long, so a batch has few of them.
 ARROW_ROWS = 256
 
@@ -16,24 +18,19 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/cellweave-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """A table of ``df`` in the shared folder (see :func:`cellweave.session.materialise`)."""
+    return session.materialise(df, name)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
 
-    A lost executor then costs a re-read, never a recomputation of earlier rounds.
+    Its cleaner works when the driver's garbage is collected, which a driver with little to do may put off for long; after a round
+    has been written, its shuffle files are as large as the round and of no use.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:

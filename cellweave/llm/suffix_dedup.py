@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, materialise, small_batches
+from cellweave.llm.common import documents, materialise, release_shuffles, small_batches
 from cellweave.llm.suffix_scan import LENGTH, stretches, string_pairs
 
 #: Stands for a null id while documents are compared.
@@ -150,12 +150,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     ranked = docs.mapInArrow(_rank_rows, "ranks long, name long, doc long")
     dealt = ranked.repartition(F.shiftright("ranks", 24)).sortWithinPartitions("ranks", "name", "doc")
     marks = materialise(dealt.mapInArrow(_mark_rows, "doc long, value long, kind int"), "stretch-marks")
+    release_shuffles(docs.sparkSession)
     edges = marks.filter(F.col("kind") == EDGE).groupBy("doc").agg(F.collect_list("value").alias("marks"))
     strings = docs.join(edges, docs["id"] == edges["doc"]).select("id", "text", "marks")
     pairs = strings.mapInArrow(_edge_strings, "one long, two long, doc long, value long")
     least = F.min("doc").over(Window.partitionBy("one", "two"))
     single = pairs.withColumn("least", least).filter(F.col("doc") > F.col("least"))
     starts = materialise(single.select("doc", "value", F.lit(START).alias("kind")), "string-marks")
+    release_shuffles(docs.sparkSession)
     return (
         marks.filter(F.col("kind") == SETTLED)
         .unionByName(starts)
