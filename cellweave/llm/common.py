@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,19 +16,22 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """A table of ``df`` in the shared folder (see :func:`cellweave.session.materialise`)."""
-    return session.materialise(df, name)
+#: Spark then removes the shuffle files of a query when it ends, and not when the driver's garbage happens to be collected.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """A table of ``df`` in the shared folder (see :func:`cellweave.session.materialise`).
 
-    Its cleaner works when the driver's garbage is collected, which a driver with little to do may put off for long; after a round
-    has been written, its shuffle files are as large as the round and of no use.
+    Once a round is written, its shuffle files are as large as the round and of no use; they go with the write.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        return session.materialise(df, name)
+    finally:
+        conf.set(CLEAN_UP, before)
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
