@@ -120,6 +120,34 @@ def test_neighbours_are_packed_together():
     assert abs(order.index(0) - order.index(4)) == 1 and abs(order.index(1) - order.index(5)) == 1
 
 
+def test_common_and_light_terms_find_neighbours():
+    own = [np.arange(100 + 40 * k, 130 + 40 * k) for k in range(6)]
+    common = [np.concatenate([x, np.arange(9)]) if k in (0, 5) else x for k, x in enumerate(own)]
+    order = packing.pack_order(np.full(6, 50), [*common[:5], common[5]], 100)
+    assert order[:2] == [0, 5]  # terms that a third of the documents have
+    copies = [np.arange(9)] * 4
+    index = packing.Index([*copies, np.arange(500, 520), np.arange(500, 520)])
+    assert index.size == 2 and list(index.neighbours(0, np.array([True] + [False] * 5))) == [1, 2, 3]
+    long = np.arange(1000, 1060)
+    pairs = [np.concatenate([long[k : k + 1]] * 2) for k in range(60)]  # each has one term of the long seed
+    assert sorted(packing.Index([long, *pairs]).neighbours(0, np.zeros(61, bool))) == list(range(61))
+
+
+def test_frequencies_and_shards_are_of_all_documents(spark):
+    texts = [f"Apple, pear{k} tree." for k in range(40)] + [None, "rare words here", "rare words there"]
+    docs = docs_of(spark, texts).repartition(7)
+    known = packing.frequencies(docs)
+    at = lambda *t: known(np.array([packing.term_hash(x) for x in t])).tolist()
+    assert known.n == 43 and at("apple", "rare", "tree", "here", "pear3") == [40, 2, 40, 0, 0]
+    n = 64
+    far = [f"alpha{k % n} beta{k % n} gamma{k % n} own{k}" for k in range(2 * n)]  # partners lie in different partitions
+    two = docs_of(spark, far).repartitionByRange(2, "doc_id")
+    rows = sorted(packing.pack(two, window=16).collect(), key=lambda r: (r.sequence_id, r.offset))
+    placed = list(dict.fromkeys(r.doc_id for r in rows))
+    assert sorted(placed) == list(range(2 * n))
+    assert sum(abs(placed.index(k) - placed.index(k + n)) == 1 for k in range(n)) > 0.9 * n
+
+
 # ---- 5 ----
 
 
