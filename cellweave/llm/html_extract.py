@@ -3,9 +3,11 @@ r"""Main-text extraction by tag-path ratios.
 A page is read tag by tag into text nodes, each with its root-to-leaf tag path, and into blocks (text between the edges of
 block elements). Elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments are left out. For every tag path the mean text length and the mean number of punctuation marks per
-node are taken; both series are smoothed along the page, fused by their product, and nodes at or above a share of the mean
-are content. The main element is the deepest container that holds nearly all of the content's characters, and an article or
-main element that holds half of it takes precedence; its blocks are the text.
+node are taken; both series are smoothed along the page and fused by the root of their product, and nodes at or above a share
+of the characters' mean, or that of a short sentence, are content, as are those of paths of which every second node has a
+mark. A block with a content node is kept whole, and so is a heading if content follows before the next heading of its rank
+or a higher one. All else is dropped. If the article and main elements of the page hold half of the content's characters
+together, only what stands in one of them is kept.
 
 Inside a block white space becomes one space (a line break element is white space), ends are trimmed, character references are
 decoded, and the blocks that are not empty are joined by ``\n``.
@@ -58,8 +60,11 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 
-CONTENT_SHARE = 0.25  # of the mean fused ratio, for a node to be content
-MAIN_SHARE = 0.9  # of the content's characters that the main element holds
+CONTENT_SHARE = 0.5  # of the characters' mean fused ratio, for a node to be content
+CLEAR = 6.0  # the ratio of a short sentence, which is content beside any longer text
+SENTENCE_MARKS = 0.5  # marks a node from which a path is sentences, however short
+NAMED_SHARE = 0.5  # of the content's characters, for article and main elements to be all of the text
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -185,31 +190,35 @@ class Page:
             size[p] += len(t.strip())
             marks[p] += len(PUNCTUATION.findall(t))
             count[p] += 1
-        fused = [
-            a * (1 + b)
-            for a, b in zip(
-                smooth([size[p] / count[p] for p, _, _ in nodes]), smooth([marks[p] / count[p] for p, _, _ in nodes])
-            )
+        length = smooth([size[p] / count[p] for p, _, _ in nodes])
+        mark = smooth([marks[p] / count[p] for p, _, _ in nodes])
+        fused = [(a * (1 + b)) ** 0.5 for a, b in zip(length, mark)]
+        letters = [len(t.strip()) for _, t, _ in nodes]
+        limit = min(CONTENT_SHARE * sum(f * n for f, n in zip(fused, letters)) / sum(letters), CLEAR)
+        content = iter([f >= limit or b >= SENTENCE_MARKS for f, b in zip(fused, mark)])
+        kept = [any([next(content) for _, t, _ in block if not t.isspace()]) for block in self.blocks]
+        inside = [any(self.tags[e] in ("article", "main") for _, _, c in block for e in c) for block in self.blocks]
+        held = [sum(len(t) for _, t, _ in block) * k for block, k in zip(self.blocks, kept)]
+        if sum(n for n, i in zip(held, inside) if i) >= NAMED_SHARE * sum(held):
+            kept = [k and i for k, i in zip(kept, inside)]
+        else:
+            inside = [True] * len(kept)
+        ranks = [
+            min((HEADINGS[self.tags[e]] for _, _, c in block for e in c if self.tags[e] in HEADINGS), default=0)
+            for block in self.blocks
         ]
-        limit = CONTENT_SHARE * sum(fused) / len(fused)
-        held: dict[int, int] = defaultdict(int)
-        total = 0
-        for (_, t, c), f in zip(nodes, fused):
-            if f >= limit:
-                total += len(t)
-                for e in c:
-                    held[e] += len(t)
-        main = 0
-        for e in sorted(held):  # elements are numbered as they open, so a deeper one comes later
-            if self.tags[e] in CONTAINER and held[e] >= MAIN_SHARE * total:
-                main = e
-        named = [e for e in held if self.tags[e] in ("article", "main") and held[e] >= 0.5 * total]
-        if named:
-            main = max(named, key=lambda e: (held[e], -e))
+        reach = 0  # a heading of a rank below this is followed by content of its own
+        if any(k and not rank for k, rank in zip(kept, ranks)):  # else the headings are all there is
+            for k in range(len(kept) - 1, -1, -1):
+                if ranks[k]:
+                    kept[k] = inside[k] and ranks[k] < reach
+                    reach = min(reach, ranks[k])
+                elif kept[k]:
+                    reach = 7
         out = []
-        for block in self.blocks:
-            said = " ".join("".join(t for _, t, c in block if main in c or not main).split())
-            if said:
+        for block, k in zip(self.blocks, kept):
+            said = " ".join("".join(t for _, t, _ in block).split())
+            if k and said:
                 out.append(said)
         return out
 

@@ -51,6 +51,19 @@ def test_main_text():
     assert html_extract.main_text("just text, no tags") == "just text, no tags"
 
 
+def test_text_is_chosen_by_path():
+    said = "This sentence, like the others, has some words and marks in it; is it not so? "
+    two = f"<body><article><p>{said * 6}</p></article><article><p>{said * 4}</p></article></body>"
+    assert html_extract.main_text(two) == f"{said.strip() + (' ' + said.strip()) * 5}\n{said.strip() + (' ' + said.strip()) * 3}"
+    body = f"<div class=text>{f'<p>{said * 5}</p>' * 30}</div>"
+    split = html_extract.main_text(f"<body><div><h1>Head line</h1><p>A short lead, as is usual.</p>{body}</div></body>").split("\n")
+    assert split[:2] == ["Head line", "A short lead, as is usual."] and len(split) == 32
+    links = "<div><ul>" + "<li><a href=/x>Home</a></li>" * 9 + "</ul></div>"
+    marked = html_extract.main_text(f"<body><article><h1>Head</h1>{links}<p>{said}</p>{links}<p>{said}</p><h2>More</h2>{links}</article>")
+    assert html_extract.main_text("<h1>Alone</h1>") == "Alone"
+    assert marked.count("Home") <= 4 and marked.startswith("Head\n") and "More" not in marked and marked.count("marks") == 2
+
+
 def test_pages_query(spark):
     rows = [(1, "u", None), (2, None, "<p>a</p>"), (2, None, "<p>a</p>")]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
