@@ -31,3 +31,7 @@ def test_registry():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_gene_is_left_out(spark):
+    assert sorted(r.gene for r in catalog.queries()["i4_leave_one_out"](spark, SF).collect()) == list(range(32))
