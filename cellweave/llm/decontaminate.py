@@ -6,7 +6,8 @@ occurrence of a window is hit. Test words are numbered, so a document becomes a
 for a word that no test has; window fingerprints are looked up in the set, and every hit is verified word by word.
 
 What is broadcast is bounded: test items are dealt by hash into slices of at most ``slice_bytes`` of text, each slice is
-one scan of the documents, and the hits of the slices are united. One slice is the usual case.
+one scan of the documents, and its hits are added to those that the row brings from the scans before. One slice is the
+usual case.
 
 Defined cases: a null or wordless text has no words, no hits and no items; item ids may repeat (the id is reported once);
 an empty test table leaves every document clean; an empty document table gives no row; other columns are ignored by the
@@ -116,42 +117,38 @@ def scan_documents(
     small_batches(spark)
     tests = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text"))
     n = _slices(tests, slice_bytes)
-    parts = []
+    out = "n_words long, hits array<long>, items array<string>"
+    found = docs.select("doc_id", "text")
     for k in range(n):
         rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
         shared = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in rows], window))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k == n - 1) -> Iterator[pa.RecordBatch]:
             tests = shared.value
             for batch in batches:
                 n_words, hits, items = [], [], []
-                for text in batch.column(1):
+                for i, text in enumerate(batch.column(1)):
                     count, spots, who = tests.scan(text.as_py())
+                    spots, who = set(spots.tolist()), {str(x) for x in who}
+                    if not first:
+                        spots.update(batch.column(3)[i].as_py())
+                        who.update(batch.column(4)[i].as_py())
                     n_words.append(count)
-                    hits.append(spots.tolist())
-                    items.append(sorted(str(i) for i in who))
+                    hits.append(sorted(spots))
+                    items.append(sorted(who))
+                new = [
+                    pa.array(n_words, pa.int64()),
+                    pa.array(hits, pa.list_(pa.int64())),
+                    pa.array(items, pa.list_(pa.string())),
+                ]
+                kept = ["doc_id"] if last else ["doc_id", "text"]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(n_words, pa.int64()),
-                        pa.array(hits, pa.list_(pa.int64())),
-                        pa.array(items, pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "n_words", "hits", "items"],
+                    [*batch.columns[: len(kept)], *new], [*kept, "n_words", "hits", "items"]
                 )
 
-        source = docs.select("doc_id", "text")
-        parts.append(source.mapInArrow(run, "doc_id long, n_words long, hits array<long>, items array<string>"))
-    if n == 1:
-        return parts[0]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
-    return united.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+        # A row keeps its place through all scans, so equal and null ids stay rows of their own.
+        found = found.mapInArrow(run, f"doc_id long, {out}" if k == n - 1 else f"doc_id long, text string, {out}")
+    return found
 
 
 def cut_spans(text: str | None, hits: set[int]) -> str | None:

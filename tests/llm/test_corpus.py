@@ -310,6 +310,15 @@ def test_slices_agree(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_slices_keep_rows(spark):
+    bench = spark.createDataFrame([(k, " ".join(WORDS[20 * k : 20 * k + 12])) for k in range(6)], "item_id long, text string")
+    a, b = " ".join(WORDS[:12]), "x y " + " ".join(WORDS[100:112])
+    rows = [(1, a), (1, a), (1, b), (None, a), (None, b), (None, None), (2, f"{a} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(repr, decontaminate.scan_documents(docs, bench, slice_bytes=n).collect())) for n in (60, 1 << 20)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+
+
 # ---- 10 ----
 
 
