@@ -35,3 +35,11 @@ def test_entry(spark):
 
 def test_every_gene_is_left_out(spark):
     assert sorted(r.gene for r in catalog.queries()["i4_leave_one_out"](spark, SF).collect()) == list(range(32))
+
+
+def test_sweep_has_every_run(spark):
+    from cellweave.plans.pipeline import SWEEP
+
+    rows = catalog.queries()["v19_v20_e6_sweep"](spark, SF).collect()
+    assert len({r.run for r in rows}) == len(rows) == 1 + sum(len(v) - 1 for v in SWEEP.values()) == 12
+    assert all(-1 <= r.silhouette <= 1 for r in rows)
