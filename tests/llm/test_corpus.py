@@ -125,10 +125,71 @@ def test_packing_is_exact(spark):
     assert packing.pack(docs_of(spark, [])).count() == 0
 
 
+def test_marks_after_any_letter():
+    """Ids of chunks of a letter and a mark are the tokenizer's, for every letter that Unicode has."""
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    letters = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i))[0] == "L"]
+    letters = [c for c in letters if not 0x4E10 < ord(c) < 0x9F00 and not 0xAC10 < ord(c) < 0xD780 and not 0x17000 < ord(c) < 0x31400]
+    words = [c + mark for c in letters for mark in ("", ".", ",")] + ["İKİ,", "SİVRİ.", "x" + "y" * 90 + "."]
+    texts = [*(" ".join(words[i : i + 60]) for i in range(0, len(words), 60)), "<|ENDOFTEXT|>, <|endoftext|>. <|EndOfText|>x", ". , .. ,."]
+    encoder, tokenizer = packing.Encoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for _ in range(2):  # the second time from the cache
+        for i in range(0, len(texts), 128):
+            some = texts[i : i + 128]
+            got = encoder.encode(packing.Chunks(pa.array(some), encoder.as_is))
+            for t, ids in zip(some, got):
+                assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_name_table_finds_what_was_added():
+    from cellweave.llm.textscan import NameTable
+
+    rng, table, added = np.random.default_rng(2), NameTable(4), []
+    names = np.unique(rng.integers(1, 1 << 20, 5000)).astype(np.uint64)  # low bits collide
+    rng.shuffle(names)
+    for part in np.split(names, [3, 50, 51, 900]):
+        assert (table.find(part) == -1).all()
+        table.add(part)
+        added += part.tolist()
+        assert table.find(np.array(added, np.uint64)).tolist() == list(range(len(added)))
+
+
+def documents_of(terms):
+    return [np.unique(t, return_counts=True) for t in terms]
+
+
+def brute_bm25(terms, seed):
+    n, mean = len(terms), np.mean([len(t) for t in terms])
+    out = np.zeros(n)
+    for t in set(terms[seed].tolist()):
+        df = sum(t in d for d in terms)
+        for k, d in enumerate(terms):
+            tf = int((d == t).sum())
+            if tf and df > 1:
+                out[k] += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return out
+
+
+def test_scores_are_bm25():
+    rng = np.random.default_rng(8)
+    terms = [rng.zipf(1.4, rng.integers(1, 80)) % 500 for _ in range(60)]
+    index = packing.Index(documents_of(terms))
+    for seed in range(60):
+        expected = brute_bm25(terms, seed)
+        assert np.allclose(index.scores(seed)[index.entry], expected, rtol=1e-4, atol=1e-5)
+        got = list(packing.Index(documents_of(terms)).neighbours(seed, np.arange(60) == seed))
+        assert sorted(got) == [k for k in range(60) if expected[k] > 0 and k != seed]
+        assert (np.diff(expected[got]) < 1e-4).all()
+
+
 def test_neighbours_are_packed_together():
     a, b = np.arange(30), np.arange(100, 130)
     terms = [a, b, np.arange(200, 230), np.arange(300, 330), a.copy(), b.copy(), *[np.arange(k, k + 9) for k in range(400, 600, 10)]]
-    order = packing.pack_order(np.full(len(terms), 50), terms, 64)
+    order = packing.pack_order(np.full(len(terms), 50), documents_of(terms), 64)
     assert sorted(order) == list(range(len(terms)))
     assert abs(order.index(0) - order.index(4)) == 1 and abs(order.index(1) - order.index(5)) == 1
 
@@ -136,21 +197,21 @@ def test_neighbours_are_packed_together():
 def test_common_and_light_terms_find_neighbours():
     own = [np.arange(100 + 40 * k, 130 + 40 * k) for k in range(6)]
     common = [np.concatenate([x, np.arange(9)]) if k in (0, 5) else x for k, x in enumerate(own)]
-    order = packing.pack_order(np.full(6, 50), [*common[:5], common[5]], 100)
+    order = packing.pack_order(np.full(6, 50), documents_of(common), 100)
     assert order[:2] == [0, 5]  # terms that a third of the documents have
     copies = [np.arange(9)] * 4
-    index = packing.Index([*copies, np.arange(500, 520), np.arange(500, 520)])
+    index = packing.Index(documents_of([*copies, np.arange(500, 520), np.arange(500, 520)]))
     assert index.size == 2 and list(index.neighbours(0, np.array([True] + [False] * 5))) == [1, 2, 3]
     long = np.arange(1000, 1060)
     pairs = [np.concatenate([long[k : k + 1]] * 2) for k in range(60)]  # each has one term of the long seed
-    assert sorted(packing.Index([long, *pairs]).neighbours(0, np.zeros(61, bool))) == list(range(61))
+    assert sorted(packing.Index(documents_of([long, *pairs])).neighbours(0, np.zeros(61, bool))) == list(range(61))
 
 
 def test_frequencies_and_shards_are_of_all_documents(spark):
     texts = [f"Apple, pear{k} tree." for k in range(40)] + [None, "rare words here", "rare words there"]
     docs = docs_of(spark, texts).repartition(7)
     known = packing.frequencies(docs)
-    at = lambda *t: known(np.array([packing.term_hash(x) for x in t])).tolist()
+    at = lambda *t: known(np.array([packing.term_name(x) for x in t])).tolist()
     assert known.n == 43 and at("apple", "rare", "tree", "here", "pear3") == [40, 2, 40, 0, 0]
     n = 64
     far = [f"alpha{k % n} beta{k % n} gamma{k % n} own{k}" for k in range(2 * n)]  # partners lie in different partitions
