@@ -2,22 +2,21 @@
 
 Words are maximal runs of ASCII letters and digits and of any non-ASCII characters, with A-Z lower-cased. A window is
 ten consecutive words of one test item; an item of one to nine words is one window as a whole. A document word inside an
-occurrence of a window is hit. Test words are numbered, so a document becomes a row of small integers in which 0 stands
-for a word that no test has; window fingerprints are looked up in the set, and every hit is verified word by word.
+occurrence of a window is hit. Test words are numbered, so a document becomes a row of numbers; windows of test words only
+are looked up by fingerprint in the set, and every hit is verified word by word.
 
-What is broadcast is bounded: test items are dealt by hash into slices of at most ``slice_bytes`` of text, each slice is
-one scan of the documents, and its hits are added to those that the row brings from the scans before. One slice is the
-usual case.
+The set is arrays, 11 to 22 bytes for each byte of the tests as measured. What is broadcast is bounded: tests are dealt into slices of at
+most ``slice_bytes`` of text, as measured (only a single text may be longer), each slice is one scan of the documents, and its
+hits are added to those that the row brings from the scans before. One slice is the usual case.
 
-Defined cases: a null or wordless text has no words, no hits and no items; item ids may repeat (the id is reported once);
-an empty test table leaves every document clean; an empty document table gives no row; other columns are ignored by the
-query and kept by :func:`clean`.
+Defined cases: a null or wordless text has no words, no hits and no items; item ids may repeat (the id is reported once); a
+test without an id hits words but is not listed; an empty test table leaves every document clean; repeated documents are
+scanned each for itself; an empty document table gives no row; other columns are ignored by the query and kept by
+:func:`clean`.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,87 +25,122 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import documents, small_batches
+from cellweave.llm.textscan import NameTable, blocks, chunk_bounds, chunk_names
 
 WINDOW = 10
-SLICE_BYTES = 64 << 20
+SLICE_BYTES = 8 << 20
 
 # Every byte that is not part of a word becomes a space; A-Z become a-z. UTF-8 bytes of non-ASCII characters are word bytes.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
+_FOLD_ROW = np.frombuffer(_FOLD, np.uint8)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | bytes | None) -> list[bytes]:
-    if text is None:
-        return []
-    raw = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
-    return raw.translate(_FOLD).split()
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit names of all words of some texts, in order, and where each text's words begin and end."""
+    row, start, end, owner = chunk_bounds(texts, _FOLD_ROW)
+    return chunk_names(row, start, end), np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def _prints(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit fingerprint of each window of n ids."""
-    out = np.zeros(len(ids) - n + 1, np.uint64)
+def _prints(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit fingerprint of the n ids from each start."""
+    out = np.full(len(starts), n, np.uint64)
     for k in range(n):
-        out = (out ^ ids[k : k + len(out)].astype(np.uint64)) * _MIX
+        out = (out ^ ids[starts + k].astype(np.uint64)) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges first..first+size: which range, and all their members."""
+    which = np.repeat(np.arange(len(first)), size)
+    return which, np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 class WindowSet:
-    """The windows of one slice of tests. Few megabytes: a slice has a bounded number of bytes."""
-
-    def __init__(self, items: list[tuple[int, bytes | str | None]], window: int = WINDOW):
-        self.window = window
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if ids:
-                n = min(window, len(ids))
-                for i in range(len(ids) - n + 1):
-                    found[n][tuple(ids[i : i + n])].add(item)
-        self.sizes: dict[int, tuple[np.ndarray, dict[tuple[int, ...], frozenset]]] = {}
-        for n, grams in found.items():
-            prints = np.unique(np.concatenate([_prints(np.array(g, np.int64), n) for g in grams]))
-            self.sizes[n] = prints, {g: frozenset(i) for g, i in grams.items()}
-        self.shortest = min(self.sizes, default=window)
-
-    def scan(self, text: str | bytes | None) -> tuple[int, np.ndarray, set]:
-        """Words of the text, the sorted positions of the hit words, and the items hit."""
-        said = words(text)
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in said], np.int64)
-        none = np.empty(0, np.int64)
-        if not self.sizes or np.count_nonzero(ids) < self.shortest:
-            return len(said), none, set()
-        absent = np.concatenate([[0], np.cumsum(ids == 0)])
-        spots, items = [], set()
-        for n, (prints, grams) in self.sizes.items():
-            if len(ids) < n:
-                continue
-            starts = np.flatnonzero(absent[n:] == absent[:-n])  # windows in which every word is a test word
-            if not len(starts):
-                continue
-            if n > 1:
-                grid = ids[starts[:, None] + np.arange(n)]
-                marks = np.zeros(len(starts), np.uint64)
-                for k in range(n):
-                    marks = (marks ^ grid[:, k].astype(np.uint64)) * _MIX
-                    marks ^= marks >> np.uint64(29)
-                starts = starts[np.isin(marks, prints)]
-            for s in starts.tolist():
-                who = grams.get(tuple(ids[s : s + n].tolist()))
-                if who:
-                    items |= who
-                    spots.append(np.arange(s, s + n))
-        return len(said), np.unique(np.concatenate(spots)) if spots else none, items
-
-
-def _slices(benchmark: DataFrame, slice_bytes: int) -> int:
-    """How many slices keep each of them under the bound."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return max(1, -(-int(total * 1.25) // slice_bytes))
+    """The different windows of one slice of tests, by size: fingerprints in order, where the words are, and whose they are."""
+
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
+        self.names = [None if i is None else str(i) for i, _ in items]
+        said, bounds = words(pa.array([t for _, t in items], pa.large_string()))
+        self.vocabulary = NameTable()
+        self.vocabulary.add(np.unique(said))
+        self.ids = self.vocabulary.find(said)
+        count = np.diff(bounds)
+        size = np.minimum(count, window)
+        self.sizes: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in np.unique(size[size > 0]).tolist():
+            some = np.flatnonzero(size == n)
+            which, at = _spread(bounds[some], count[some] - n + 1)
+            prints, item = _prints(self.ids, at, n), some[which]
+            order = np.lexsort((item, prints))
+            prints, item, at = prints[order], item[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = prints[1:] != prints[:-1]
+            for k in range(n):
+                new[1:] |= self.ids[at[1:] + k] != self.ids[at[:-1] + k]
+            first = np.flatnonzero(new)
+            self.sizes[n] = prints[first], at[first], np.append(first, len(at)), item
+
+    def scan(self, texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
+        """Per text: how many words it has, the sorted places of the hit words, and the items hit, as sorted strings."""
+        said, bounds = words(texts)
+        ids = self.vocabulary.find(said)
+        edge = np.zeros(len(ids) + 1, np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        whose = [np.empty(0, np.int64)]
+        run = np.zeros(len(ids), np.int64)  # test words of the text from here on
+        stop = np.union1d(np.flatnonzero(ids < 0), bounds[1:])
+        run = stop[np.searchsorted(stop, np.arange(len(ids)), side="right")] - np.arange(len(ids)) if len(ids) else run
+        run[ids < 0] = 0
+        for n, (prints, at, first, item) in self.sizes.items():
+            starts = np.flatnonzero(run >= n)
+            got = _prints(ids, starts, n)
+            low = np.searchsorted(prints, got)
+            found = low < len(prints)
+            found[found] = prints[low[found]] == got[found]
+            starts, low, got = starts[found], low[found], got[found]
+            which, window = _spread(low, np.searchsorted(prints, got, side="right") - low)
+            starts = starts[which]
+            same = np.ones(len(starts), bool)
+            for k in range(n):
+                same &= ids[starts + k] == self.ids[at[window] + k]
+            starts, window = starts[same], window[same]
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + n, -1)
+            both = np.unique(owner[starts] * len(prints) + window)
+            text, window = both // len(prints), both % len(prints)
+            which, place = _spread(first[window], first[window + 1] - first[window])
+            whose.append(np.unique(text[which] * len(self.names) + item[place]))
+        hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+        hits = np.split(hit - bounds[owner[hit]], np.searchsorted(owner[hit], np.arange(1, len(texts))))
+        items: list[set] = [set() for _ in range(len(texts))]
+        for pair in np.unique(np.concatenate(whose)).tolist():
+            name = self.names[pair % len(self.names)]
+            if name is not None:
+                items[pair // len(self.names)].add(name)
+        return np.diff(bounds), hits, [sorted(x) for x in items]
+
+
+def _slices(tests: DataFrame, slice_bytes: int, window: int) -> Iterator[tuple[WindowSet, bool]]:
+    """The sets of all slices, and whether it is the last. Tests are dealt into small buckets by hash; buckets are put together
+    by their measured sizes."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = tests.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(1, -(-8 * total // slice_bytes))
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    slices, room = [[]], slice_bytes
+    for row in tests.groupBy(bucket.alias("b")).agg(F.sum(size).alias("n")).orderBy("b").toLocalIterator():
+        if slices[-1] and row["n"] > room:
+            slices.append([])
+            room = slice_bytes
+        slices[-1].append(row["b"])
+        room -= row["n"]
+    for k, some in enumerate(slices):
+        rows = tests.filter(bucket.isin(some)).collect() if some else []
+        yield WindowSet([(r["item_id"], r["text"]) for r in rows], window), k == len(slices) - 1
 
 
 def scan_documents(
@@ -115,39 +149,37 @@ def scan_documents(
     """doc_id, n_words, hits (sorted word positions), items (ids of the tests hit, as sorted strings)."""
     spark = docs.sparkSession
     small_batches(spark)
-    tests = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text"))
-    n = _slices(tests, slice_bytes)
-    out = "n_words long, hits array<long>, items array<string>"
     found = docs.select("doc_id", "text")
-    for k in range(n):
-        rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        shared = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in rows], window))
+    first = True
+    for tests, last in _slices(benchmark.select("item_id", "text"), slice_bytes, window):
+        shared = spark.sparkContext.broadcast(tests)
+        kept = ["doc_id"] if last else ["doc_id", "text"]
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=k == 0, last=k == n - 1) -> Iterator[pa.RecordBatch]:
-            tests = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, kept=kept) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n_words, hits, items = [], [], []
-                for i, text in enumerate(batch.column(1)):
-                    count, spots, who = tests.scan(text.as_py())
-                    spots, who = set(spots.tolist()), {str(x) for x in who}
+                at = 0
+                for some in blocks(batch.column(1)):
+                    count, hits, items = shared.value.scan(some)
+                    part = batch.slice(at, len(some))
+                    at += len(some)
                     if not first:
-                        spots.update(batch.column(3)[i].as_py())
-                        who.update(batch.column(4)[i].as_py())
-                    n_words.append(count)
-                    hits.append(sorted(spots))
-                    items.append(sorted(who))
-                new = [
-                    pa.array(n_words, pa.int64()),
-                    pa.array(hits, pa.list_(pa.int64())),
-                    pa.array(items, pa.list_(pa.string())),
-                ]
-                kept = ["doc_id"] if last else ["doc_id", "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(kept)], *new], [*kept, "n_words", "hits", "items"]
-                )
+                        for i, (h, who) in enumerate(zip(part.column(3), part.column(4))):
+                            if len(h):
+                                hits[i] = np.union1d(hits[i], np.array(h.as_py(), np.int64))
+                                items[i] = sorted({*items[i], *who.as_py()})
+                    new = [
+                        pa.array(count, pa.int64()),
+                        pa.array(hits, pa.list_(pa.int64())),
+                        pa.array(items, pa.list_(pa.string())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[: len(kept)], *new], [*kept, "n_words", "hits", "items"]
+                    )
 
         # A row keeps its place through all scans, so equal and null ids stay rows of their own.
-        found = found.mapInArrow(run, f"doc_id long, {out}" if k == n - 1 else f"doc_id long, text string, {out}")
+        text = "" if last else "text string, "
+        found = found.mapInArrow(run, f"doc_id long, {text}n_words long, hits array<long>, items array<string>")
+        first = False
     return found
 
 
@@ -187,23 +219,18 @@ def clean(
         raise ValueError(mode)
     spark = docs.sparkSession
     small_batches(spark)
-    tests = benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text"))
-    n = _slices(tests, slice_bytes)
     at, schema = docs.columns.index("text"), docs.schema
-    for k in range(n):
-        rows = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
-        shared = spark.sparkContext.broadcast(WindowSet([(r.item_id, r.text) for r in rows], window))
+    for tests, _ in _slices(benchmark.select("item_id", "text"), slice_bytes, window):
+        shared = spark.sparkContext.broadcast(tests)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tests = shared.value
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                hits = [tests.scan(t)[1] for t in texts]
+                hits = [h for some in blocks(batch.column(at)) for h in shared.value.scan(some)[1]]
                 if mode == "documents":
                     yield batch.filter(pa.array([not len(h) for h in hits], pa.bool_()))
                 else:
-                    new = pa.array([cut_spans(t, set(h.tolist())) for t, h in zip(texts, hits)], batch.column(at).type)
-                    yield batch.set_column(at, batch.schema.field(at), new)
+                    texts = [cut_spans(t.as_py(), set(h.tolist())) for t, h in zip(batch.column(at), hits)]
+                    yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
 
         docs = docs.mapInArrow(run, schema)
     return docs
@@ -221,9 +248,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sha256_of_items(ids: list) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
-
 
 _SQL_WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

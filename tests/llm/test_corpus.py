@@ -380,6 +380,39 @@ def test_slices_keep_rows(spark):
     assert got[0] == got[1] and len(got[0]) == len(rows)
 
 
+def brute_windows(text):
+    return "".join(c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " " for c in text or "").split()
+
+
+def test_scan_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    pool = [f"Q{i % 23}é" if i % 5 else f"w{i % 7}" for i in range(60)]
+    make = lambda n: " ".join(rng.choice(pool, n))
+    items = [(k % 9, make(int(n))) for k, n in enumerate([*rng.integers(1, 14, 40), 0])] + [(None, "Q1é w1 lone"), (50, None)]
+    texts = [*ODD, *[f"{make(20)}, {rng.choice([t for _, t in items if t])}. {make(9)}" for _ in range(30)], "lone Q1é w1 lone"]
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    for size in (100, 1 << 20):
+        out = {r.doc_id: r for r in decontaminate.scan_documents(docs_of(spark, texts, True), tests, slice_bytes=size).collect()}
+        for i, t in enumerate(texts):
+            said, hits, who = brute_windows(t), set(), set()
+            for item, text in items:
+                w = brute_windows(text)
+                n = min(10, len(w))
+                for k in range(len(w) - n + 1 if w else 0):
+                    for at in range(len(said) - n + 1):
+                        if said[at : at + n] == w[k : k + n]:
+                            hits.update(range(at, at + n))
+                            who |= {str(item)} if item is not None else set()
+            assert (out[i].n_words, out[i].hits, out[i].items) == (len(said), sorted(hits), sorted(who))
+
+
+def test_window_set_is_bounded():
+    import pickle
+
+    text = " ".join(f"word{i % 5000} of item {i}" for i in range(40_000))
+    assert len(pickle.dumps(decontaminate.WindowSet([(1, text)]))) < 20 * len(text)
+
+
 # ---- 10 ----
 
 
