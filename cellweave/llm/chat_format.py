@@ -10,13 +10,14 @@ never be taken for a mark and ``\\x -> x`` restores it.
 
 Defined cases: a null text or role is empty; turns are ordered by (turn, role, text) with nulls first, so ties
 and repeated rows have one order; every row is a turn, repeated rows included; a null conv_id is a conversation
-of its own; an empty table gives no row; other columns, whatever their names, are ignored. A conversation is one
-row of the output, so the turns of one conversation meet in one task by nature; nothing else does.
+of its own; an empty table gives no row; other columns, whatever their names, are ignored. Rows that already belong
+to conversation -1 are one conversation with the two that the query adds. A conversation is one row of the output, so
+the turns of one conversation meet in one task by nature; nothing else does, and the work is linear in them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Marks of the template, and control strings that must not survive inside a text.
@@ -42,87 +43,52 @@ def unescape(c: Column) -> Column:
 
 
 def collect_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns): the escaped turns of each conversation, in order."""
+    """(conv_id, turns): the turns of each conversation in order, as they are and escaped (``r``, ``x``).
+
+    ``chars`` and ``bytes`` say where the turn's text ends in the formatted conversation: a running sum over its turns.
+    """
     clean = rows.select(
-        F.col("conv_id"),
-        F.struct(
-            F.col("turn").alias("turn"),
-            F.coalesce(F.col("role"), F.lit("")).alias("role"),
-            F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        ).alias("t"),
-    )
-    return clean.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumns({"r": escape(F.col("role")), "x": escape(F.col("text"))})
+    before = Window.partitionBy("conv_id").orderBy(*[F.asc_nulls_first(c) for c in ("turn", "role", "text")])
+    last, so_far = F.lag("role").over(before), before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def end(length) -> Column:
+        opening = length(F.col("r")) + len(TURN) + len(TEXT)
+        mark = F.when(last.isNull(), opening).when(last == F.col("role"), len(NEXT)).otherwise(opening + len(END))
+        return F.sum((mark + length(F.col("x"))).cast("long")).over(so_far)
+
+    placed = clean.select(*clean.columns, end(F.char_length).alias("chars"), end(F.octet_length).alias("bytes"))
+    turn = F.struct("turn", "role", "text", "chars", "bytes", "r", "x")
+    return placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
 
 def format_conversations(rows: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans.
 
-    ``loss_spans`` are (start, length) pairs in code points of ``formatted``: the escaped texts of the trained
-    role. Marks, roles and the other texts are outside the loss.
+    ``loss_spans`` say where the escaped texts of the trained role are in ``formatted``: start and length in code points, and
+    byte_start and byte_length. Marks, roles and the other texts are outside the loss.
     """
-    turns = collect_turns(rows)
-    merged = F.aggregate(
-        "turns",
-        F.array().cast("array<struct<role:string,texts:array<string>>>"),
-        lambda acc, t: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["role"] == escape(t["role"])),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        escape(t["role"]).alias("role"),
-                        F.array_append(F.get(acc, F.size(acc) - 1)["texts"], escape(t["text"])).alias("texts"),
-                    )
-                ),
-            ),
-        ).otherwise(
-            F.array_append(acc, F.struct(escape(t["role"]).alias("role"), F.array(escape(t["text"])).alias("texts")))
-        ),
-    )
-    runs = turns.select("conv_id", merged.alias("runs"))
-    # A piece is a stretch of the output; only texts of the trained role carry the mask.
-    pieces = F.flatten(
-        F.transform(
-            "runs",
-            lambda r: F.concat(
-                F.array(F.struct(F.concat(F.lit(TURN), r["role"], F.lit(TEXT)).alias("s"), F.lit(False).alias("loss"))),
-                F.flatten(
-                    F.transform(
-                        r["texts"],
-                        lambda x, i: F.array(
-                            F.struct(F.when(i > 0, F.lit(NEXT)).otherwise(F.lit("")).alias("s"), F.lit(False).alias("loss")),
-                            F.struct(x.alias("s"), (r["role"] == trained_role).alias("loss")),
-                        ),
-                    )
-                ),
-                F.array(F.struct(F.lit(END).alias("s"), F.lit(False).alias("loss"))),
-            ),
+
+    def opened(t: Column, i: Column) -> Column:
+        before = F.get("turns", i - 1)["role"]
+        head = F.concat(F.lit(TURN), t["r"], F.lit(TEXT))
+        return F.when(i == 0, head).when(before == t["role"], F.lit(NEXT)).otherwise(F.concat(F.lit(END), head))
+
+    def span(t: Column) -> Column:
+        chars, size = F.char_length(t["x"]).cast("long"), F.octet_length(t["x"]).cast("long")
+        return F.struct(
+            (t["chars"] - chars).alias("start"),
+            chars.alias("length"),
+            (t["bytes"] - size).alias("byte_start"),
+            size.alias("byte_length"),
         )
-    )
-    cut = runs.select("conv_id", pieces.alias("pieces"))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(
-            F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")
-        ),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["s"])).cast("long").alias("at"),
-            F.when(
-                p["loss"],
-                F.array_append(
-                    acc["spans"],
-                    F.struct(acc["at"].alias("start"), F.char_length(p["s"]).cast("long").alias("length")),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return cut.select(
+
+    said = F.array_join(F.transform("turns", lambda t, i: F.concat(opened(t, i), t["x"])), "")
+    return collect_turns(rows).select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-        spans.alias("loss_spans"),
+        F.concat(said, F.lit(END)).alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["role"] == trained_role), span).alias("loss_spans"),
     )
 
 
@@ -145,22 +111,21 @@ def read_back(formatted: DataFrame) -> DataFrame:
             ),
         )
     )
-    loss = F.array_join(
-        F.transform(
-            "loss_spans",
-            lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))),
-        ),
-        "",
-    )
+
+    # The bytes are a variable of their own, so that they are made once and not for every span.
+    def under_mask(raw: Column) -> Column:
+        cut = lambda s: F.substring(raw, (s["byte_start"] + 1).cast("int"), s["byte_length"].cast("int"))
+        return F.array_join(F.transform("loss_spans", lambda s: unescape(cut(s).cast("string"))), "")
+
+    loss = F.get(F.transform(F.array(F.col("formatted").cast("binary")), under_mask), F.lit(0))
     return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", probe), (-1, 1, TRAINED_ROLE, probe)], "conv_id long, turn long, role string, text string"
-    )
+    role = F.when(F.col("id") == 0, "user").otherwise(TRAINED_ROLE)
+    extra = spark.range(2).select(F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
     back = read_back(format_conversations(rows.unionByName(extra)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
