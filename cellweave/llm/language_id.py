@@ -1,14 +1,14 @@
 """Language identification by a linear-chain conditional random field over the words of a text.
 
-Words are runs of letters. A word's emission scores come from hashed character 2- to 4-grams that include the word's edges
+Words are runs of letters and of the marks that combine with them, with a letter at least. A word's emission scores come from hashed character 2- to 4-grams that include the word's edges
 (so its prefixes and suffixes of up to three letters are features) and from a learned lexicon: the languages for which the
 word is characteristic in the training text. Transitions between the languages of neighbouring words are learned from
 training chains in which passages of different languages are spliced, and forward-backward gives each word's posterior. A
 document's language has the largest mean posterior over its words, and that mean is the score.
 
-Long texts are cut into segments of ``SEGMENT`` words with ``CONTEXT`` words of their neighbours on either side, whose
-posteriors are dropped; all words of all texts are labelled. The model is fitted on the driver on at most ``TRAIN_PASSAGES``
-passages a language (of at most ``TRAIN_CHARS`` characters, at hashed places) and has a fixed size.
+The recursion runs over the whole of every text, those of a batch side by side. The model is fitted on the driver on at most
+``TRAIN_PASSAGES`` passages (of at most ``TRAIN_CHARS`` characters, at hashed places) for each of the ``MOST_LANGUAGES``
+languages that most documents have, and has a bounded size.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no training rows everything is ``und``;
 repeated rows are judged alike; an empty table gives no row; other columns are ignored by the query and kept by
@@ -32,8 +32,8 @@ BUCKETS = 1 << 16
 LEXICON = 1 << 18
 TRAIN_PASSAGES = 240
 TRAIN_CHARS = 3000
-MAX_LANGUAGES = 200
-SEGMENT, CONTEXT = 128, 16
+#: Languages that are learned at most, the most frequent ones.
+MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -46,8 +46,12 @@ def word_grid(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         parts += [c, np.zeros(3, np.uint32)]
         at += len(c) + 3
     codes = np.concatenate(parts)
-    codes = np.where(letter_table()[codes], codes, np.uint32(0))
+    kind = letter_table()[codes]
+    codes = np.where(kind > 0, codes, np.uint32(0))
     starts, ends = runs(codes > 0)
+    if len(starts) and (kind == 1).any():
+        real = np.maximum.reduceat(kind, starts) == 2  # what follows a word's end, up to the next, is 0
+        starts, ends = starts[real], ends[real]
     return codes, starts, ends, np.append(np.searchsorted(starts, edges), len(starts))
 
 
@@ -82,26 +86,7 @@ class Model:
 
     def posteriors(self, emissions: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Posterior of each word's language; ``bounds`` are the texts' limits in words."""
-        out = np.zeros_like(emissions)
-        lengths = np.diff(bounds)
-        per = -(-lengths // SEGMENT)
-        if not per.sum():
-            return out
-        text = np.repeat(np.arange(len(lengths)), per)
-        begin = bounds[text] + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * SEGMENT
-        left = np.minimum(begin - bounds[text], CONTEXT)
-        ends = np.minimum(bounds[text + 1], begin + SEGMENT + CONTEXT)
-        order = np.argsort(begin - left - ends, kind="stable")  # long segments first, so that a block has one width
-        step = 2048  # segments at once
-        for i in range(0, len(order), step):
-            o = order[i : i + step]
-            start, size = (begin - left)[o], (ends - begin + left)[o]
-            grid = start[:, None] + np.arange(size[0])
-            real = np.arange(size[0]) < size[:, None]
-            gamma = forward_backward(emissions[np.minimum(grid, len(emissions) - 1)], self.moves, self.first, real)
-            own = real & (grid >= begin[o][:, None]) & (grid < begin[o][:, None] + SEGMENT)
-            out[grid[own]] = gamma[own]
-        return out
+        return chain_posteriors(emissions, bounds, self.moves, self.first)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         codes, starts, ends, bounds = word_grid(texts)
@@ -124,13 +109,49 @@ class Model:
         return [(w, self.languages[k]) for w, k in zip(words, post)]
 
 
-def forward_backward(
-    e: np.ndarray, moves: np.ndarray, first: np.ndarray, real: np.ndarray | None = None, pairs: bool = False
-):
-    """Posteriors (S, T, L) of the labels for emission scores e (S, T, L); with ``pairs`` also the expected moves (S, L, L).
+def chain_posteriors(e: np.ndarray, bounds: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posteriors (N, L) of the labels of chains of any lengths: chain i has the scores e[bounds[i]:bounds[i+1]].
 
-    ``real`` marks the places that are words; those that are not must follow all words of their row.
+    Rows are ordered by place, and within a place by the lengths of their chains, longest first; so the chains that have a
+    place are a prefix of those that have the one before, and a step of the recursion is one block of rows.
     """
+    length = np.diff(bounds)
+    chains = np.argsort(-length, kind="stable")
+    steps = int(length.max(initial=0))
+    if not steps:
+        return np.zeros_like(e, np.float64)
+    # How many chains have place t, and where the rows of place t begin.
+    live = np.searchsorted(-length[chains], -np.arange(steps), side="left")
+    at = np.concatenate([[0], np.cumsum(live)])
+    rank = np.arange(at[-1]) - np.repeat(at[:-1], live)
+    row = bounds[chains[rank]] + np.repeat(np.arange(steps), live)
+    x = np.exp((e - e.max(1, keepdims=True))[row], dtype=np.float64)
+    m = np.exp(moves - moves.max())
+    alpha, beta = x, np.ones_like(x)
+    back, ones = np.ascontiguousarray(m.T), np.ones(len(m))
+    at, live = at.tolist(), live.tolist()
+    x = x.copy()
+    alpha[: live[0]] *= np.exp(first - first.max())
+    alpha[: live[0]] /= (alpha[: live[0]] @ ones)[:, None]
+    for t in range(1, steps):
+        n, here = live[t], at[t]
+        a = alpha[here : here + n]
+        a *= alpha[at[t - 1] : at[t - 1] + n] @ m
+        a /= (a @ ones)[:, None]
+    for t in range(steps - 2, -1, -1):
+        n, there = live[t + 1], at[t + 1]
+        b = (x[there : there + n] * beta[there : there + n]) @ back
+        b /= (b @ ones)[:, None]
+        beta[at[t] : at[t] + n] = b
+    alpha *= beta
+    alpha /= alpha.sum(1, keepdims=True)
+    out = np.empty_like(alpha)
+    out[row] = alpha
+    return out
+
+
+def forward_backward(e: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For scores e (S, T, L) of chains of one length: posteriors (S, T, L), and the expected moves (S, L, L)."""
     s, t, n = e.shape
     x = np.exp((e - e.max(2, keepdims=True)).transpose(1, 2, 0), order="C")  # (T, L, S): sums over L are then cheap
     m = np.exp(moves - moves.max()).astype(x.dtype)
@@ -145,14 +166,10 @@ def forward_backward(
     for k in range(t - 2, -1, -1):
         b = m @ (x[k + 1] * beta[k + 1])
         b /= b.sum(0)
-        if real is not None:
-            b[:, ~real[:, k + 1]] = 1
         beta[k] = b
     gamma = alpha * beta
     gamma /= gamma.sum(1, keepdims=True)
     gamma = gamma.transpose(2, 0, 1)
-    if not pairs:
-        return gamma
     right = x[1:] * beta[1:]
     z = np.einsum("tis,ij,tjs->ts", alpha[:-1], m, right)
     return gamma, np.einsum("tis,tjs,ts->sij", alpha[:-1], right, 1 / z) * m
@@ -203,7 +220,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: i
                     at += want
             flat = chain.ravel()
             e = model.emissions_of(features, slot, starts, lengths, flat).reshape(per_batch, width, n_lang)
-            gamma, pairs = forward_backward(e, model.moves, model.first, pairs=True)
+            gamma, pairs = forward_backward(e, model.moves, model.first)
             gold = np.eye(n_lang)[label[chain]]
             gap = (gold - gamma).reshape(-1, n_lang)
             observed = np.einsum("sti,stj->ij", gold[:, :-1], gold[:, 1:])
@@ -239,9 +256,9 @@ Model.emissions_of = _emissions_of
 def training_passages(docs: DataFrame, passages: int = TRAIN_PASSAGES, chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
     """A bounded sample of labelled passages: about ``passages`` a language, at hashed documents and places."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: max(r["n"], 1) for r in sizes.collect()}
     if not counts:
         return []
     scale = 1_000_000_000
@@ -260,6 +277,8 @@ def training_passages(docs: DataFrame, passages: int = TRAIN_PASSAGES, chars: in
                 F.lit(chars),
             ).alias("text"),
         )
+        .groupBy("lang", "h")  # a document counts once, however often its id comes
+        .agg(F.min("text").alias("text"))
         .collect()
     )
     out, used = [], dict.fromkeys(counts, 0)

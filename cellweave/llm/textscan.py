@@ -21,11 +21,11 @@ def code_points(text: str) -> np.ndarray:
 
 @lru_cache(1)
 def letter_table() -> np.ndarray:
-    """True for letters and for the marks that combine with them."""
-    out = np.zeros(0x110000, bool)
+    """2 for letters, 1 for marks, which combine with them, and 0 for all else."""
+    out = np.zeros(0x110000, np.uint8)
     for i in range(0x110000):
         kind = unicodedata.category(chr(i))[0]
-        out[i] = kind == "L" or kind == "M"
+        out[i] = 2 if kind == "L" else kind == "M"
     return out
 
 
