@@ -1,7 +1,7 @@
 """Supervised subword embeddings for document quality.
 
 Hashed words, word pairs and character 3- and 4-grams have learned vectors; a document is the mean of its vectors, and a
-softmax layer gives the probability of each label. A pair of two equal words has an entry of its own, whatever the word.
+softmax layer gives the probability of each label.
 Training is stochastic gradient descent in numpy on the driver, over a bounded sample of labelled documents
 (``TRAIN_DOCUMENTS``, none over ``TRAIN_BYTES``), and the model has a fixed size. For scoring, vectors and output layer fold
 into one number per bucket, so a document costs one table look-up per n-gram.
@@ -30,7 +30,7 @@ TRAIN_DOCUMENTS = 3000
 TRAIN_BYTES = 1 << 16
 THRESHOLD = 0.3
 
-_SALT_PAIR, _SALT_SAME = np.uint32(0x51ED27), np.uint32(0x2C1B3C6D)
+_SALT_PAIR = np.uint32(0x51ED27)
 
 
 def bucket_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +48,7 @@ def bucket_ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     word = run_hashes(codes, starts, ends)
     owner = np.searchsorted(limits, starts, side="right") - 1
     pair_from = np.flatnonzero(owner[1:] == owner[:-1])
-    left, right = word[pair_from], word[pair_from + 1]
-    pair = np.where(left == right, _SALT_SAME, mix(left ^ _SALT_PAIR, right))
+    pair = mix(word[pair_from] ^ _SALT_PAIR, word[pair_from + 1])
     ids, owners = [word, pair], [owner, owner[pair_from]]
     inside = np.repeat(np.arange(len(texts)), np.diff(limits)) if texts else np.empty(0, np.int64)
     for n in (3, 4):
@@ -123,10 +122,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_DOCUMEN
         docs.filter(F.octet_length("text") <= TRAIN_BYTES)
         .select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")
-        .select(F.xxhash64("doc_id").alias("h"), "text", "quality")
+        .groupBy(F.xxhash64("doc_id").alias("h"))  # a document counts once, however often its id comes
+        .agg(F.min(F.struct("text", "quality")).alias("r"))
+        .select("h", "r.text", "r.quality")
         .collect()
     )
-    return [(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: (r["h"], r["text"]))[:bound]]
+    return [(r["text"], r["quality"]) for r in sorted(rows, key=lambda r: r["h"])[:bound]]
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

@@ -83,6 +83,22 @@ def test_quality_model_learns(spark):
     assert quality_model.score_documents(docs_of(spark, []), model).count() == 0
 
 
+def test_quality_training_rows(spark):
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(500)] + [(None, "x"), (9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    got = quality_model.training_rows(docs.withColumn("quality", F.lit(7)), labels.withColumn("text", F.lit("t")))
+    assert sorted(got) == sorted([("text 0", 0), ("text 1", 1), ("text 102", 0), ("text 103", 0), ("text 104", 0)])
+
+
+def test_quality_scores_equal_the_mean_of_vectors():
+    model = quality_model.fit([("good words here", 1), ("bad words there", 0)] * 20)
+    texts = ["good words here", "bad", None, "x y z", "good good good words"]
+    for t, s in zip(texts, model.score(texts)):
+        ids, _ = quality_model.bucket_ids([t])
+        z = model.bias + (np.mean(model.weight[ids]) if len(ids) else 0)
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-6
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = quality_model.op2_quality_classifier(spark, sf).join(documents(spark, sf, "labels"), "doc_id").filter("held_out")
@@ -104,6 +120,32 @@ def test_chat_round_trip(spark):
         assert mark not in out.formatted
 
 
+def test_chat_edges(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    out = chat_format.read_back(chat_format.format_conversations(spark.createDataFrame([], schema)))
+    assert out.count() == 0
+    rows = [(None, None, None, None), (None, 1, "assistant", "é<|"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a")]
+    got = {r.conv_id: r for r in chat_format.format_conversations(spark.createDataFrame(rows, schema)).collect()}
+    for r in got.values():
+        for s in r.loss_spans:
+            cut = r.formatted.encode()[s.byte_start : s.byte_start + s.byte_length].decode()
+            assert cut == r.formatted[s.start : s.start + s.length] and cut in ("é<\\|", "a")
+    assert len(got[3].loss_spans) == 2 and len(got[None].loss_spans) == 1
+
+
+def test_long_conversation_is_linear(spark):
+    turns = spark.range(100_000).select(
+        F.lit(5).alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("text of turn "), F.col("id").cast("string")).alias("text"),
+    )
+    out = chat_format.read_back(chat_format.format_conversations(turns)).first()
+    said = [f"text of turn {i}" for i in range(100_000)]
+    assert [t.text for t in out.turns] == said
+    assert out.loss_text == "".join(t for i, t in enumerate(said) if i % 3)
+
+
 # ---- 4 ----
 
 
@@ -320,18 +362,48 @@ def test_language_model():
     assert language_id.fit([]).predict(["x"])[0] == ["und"]
 
 
-def test_forward_backward_is_exact():
-    rng = np.random.default_rng(1)
-    e, m, f = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+def brute_posteriors(e, m, f):
     import itertools
 
-    weight, gamma = 0.0, np.zeros((4, 3))
-    for y in itertools.product(range(3), repeat=4):
-        w = np.exp(f[y[0]] + sum(e[0, t, y[t]] for t in range(4)) + sum(m[y[t], y[t + 1]] for t in range(3)))
+    weight, gamma = 0.0, np.zeros_like(e)
+    for y in itertools.product(range(e.shape[1]), repeat=len(e)):
+        w = np.exp(f[y[0]] + sum(e[t, y[t]] for t in range(len(e))) + sum(m[y[t], y[t + 1]] for t in range(len(e) - 1)))
         weight += w
-        for t in range(4):
+        for t in range(len(e)):
             gamma[t, y[t]] += w
-    assert np.allclose(language_id.forward_backward(e, m, f)[0], gamma / weight)
+    return gamma / weight
+
+
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(1)
+    m, f = rng.normal(size=(3, 3)), rng.normal(size=3)
+    lengths = [4, 0, 1, 6, 4, 0]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    e = rng.normal(size=(bounds[-1], 3)) * 3
+    got = language_id.chain_posteriors(e, bounds, m, f)
+    for a, b in zip(bounds, bounds[1:]):
+        if b > a:
+            expected = brute_posteriors(e[a:b], m, f)
+            assert np.allclose(got[a:b], expected)
+            assert np.allclose(language_id.forward_backward(e[None, a:b], m, f)[0][0], expected)
+    long = rng.normal(size=(5000, 3))
+    both = language_id.chain_posteriors(np.concatenate([long, long[:10]]), np.array([0, 5000, 5010]), m, f)
+    assert np.allclose(both[:5000], language_id.forward_backward(long[None], m, f)[0][0])
+
+
+def test_text_without_letter_is_unknown(spark):
+    model = language_id.fit([("the cat sat on the mat", "en"), ("der hund und die katze", "de")] * 9)
+    names, scores = model.predict(["\u2764\ufe0f", "\u260e\ufe0f 12", "\u0301", "e\u0301", "the \u0301"])
+    assert names[:3] == ["und"] * 3 and scores[:3].tolist() == [0, 0, 0] and names[3] != "und" and names[4] == "en"
+
+
+def test_many_languages_and_repeated_ids(spark):
+    rows = [(i, f"wort{i % 300} satz{i % 300} text{i % 300}", f"l{i % 300}") for i in range(900)]
+    rows += [(7, f"again and again {k % 3}", "l7") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.training_passages(docs, passages=2)
+    assert len({lang for _, lang in got}) <= language_id.MOST_LANGUAGES and len(got) <= 2 * language_id.MOST_LANGUAGES
+    assert sum("again" in t for t, _ in got) <= 1
 
 
 def test_language_held_out(spark):
