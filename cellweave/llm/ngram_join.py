@@ -13,11 +13,14 @@ by links, or have equal words, are a class.
 
 Buckets and components of any size are dealt into blocks; a task sees two blocks, so no group meets in one task, and pairs are
 counted where they are found and never become rows: a task returns the number of links of each text and one edge per linked
-text. A pair that shares several buckets is taken up only in the first band in which its codes agree.
+text. A pair that shares several buckets is taken up only in the first band in which its codes agree. A block of sets has
+about ``SET_BLOCK`` texts or ``SET_BYTES`` bytes, so a set of a component of m texts is sent about m / ``SET_BLOCK`` times.
+
+Rows have keys of their own, so ids may repeat, with equal or different texts, and may be null.
 
 Defined cases: null texts and texts without a word have no shingle, are linked to nothing and are their own class; repeated
-rows and exact copies count as links of each other; a null doc_id is kept out of the join by the query (it has no id to be
-reported under); an empty table gives no row; other columns are ignored by the query and kept by :func:`keep_one`.
+rows and exact copies count as links of each other; a class is named by the least doc_id in it, null if all are null; an empty
+table gives no row; other columns are ignored by the query and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ BANDS, ROWS = 40, 6
 CODES = BANDS * ROWS
 TOLERANCE = 1e-6
 STEPS = (24, 48, 96, 168, CODES)
-#: Texts of a block while codes are compared, and while sets are.
-CODE_BLOCK, SET_BLOCK = 256, 128
+#: Texts of a block while codes are compared, and texts and bytes of one while sets are.
+CODE_BLOCK, SET_BLOCK, SET_BYTES = 256, 1024, 8 << 20
 PAIRS_AT_ONCE = 40_000
 
 _rng = np.random.default_rng(20240917)
@@ -80,7 +83,7 @@ def minhash_codes(names: np.ndarray) -> np.ndarray:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ones, twos, sizes, codes = [], [], [], []
-        for text in batch.column(1):
+        for text in batch.column(2):
             words = word_names(text.as_py())
             found = shingles(words)
             place = np.arange(1, len(words) + 1, dtype=np.uint64)
@@ -90,13 +93,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes.append(minhash_codes(found).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
+                *batch.columns[:2],
                 pa.array(ones, pa.int64()),
                 pa.array(twos, pa.int64()),
                 pa.array(sizes, pa.int64()),
                 pa.array(codes, pa.binary()),
             ],
-            ["id", "one", "two", "n_shingles", "codes"],
+            ["id", "hash", "one", "two", "n_shingles", "codes"],
         )
 
 
@@ -194,16 +197,16 @@ def _group_pairs(group: np.ndarray, side: np.ndarray, cross: np.ndarray) -> Iter
 
 
 def prune(codes: np.ndarray, left: np.ndarray, right: np.ndarray, band: np.ndarray) -> np.ndarray:
-    """True for the pairs to be verified: first met in this band, and never improbable."""
-    same = codes[left] == codes[right]
-    out = same.reshape(len(left), BANDS, ROWS).all(2).argmax(1) == band
-    live, count, done = np.flatnonzero(out), None, 0
-    count = np.zeros(len(live), np.int64)
+    """True for the pairs to be verified: first met in this band, and never improbable. Codes of live pairs only are compared."""
+    live, count, done = np.arange(len(left)), np.zeros(len(left), np.int64), 0
     for n, least in zip(STEPS, least_matches()):
-        count += np.count_nonzero(same[live, done:n], axis=1)
-        stay = count >= least
+        same = codes[left[live], done:n] == codes[right[live], done:n]
+        agree = same.reshape(len(live), (n - done) // ROWS, ROWS).all(2)
+        first = np.where(agree.any(1), agree.argmax(1) + done // ROWS, BANDS)
+        count = count + np.count_nonzero(same, axis=1)
+        stay = (first >= band[live]) & (count >= least)
         live, count, done = live[stay], count[stay], n
-    out[:] = False
+    out = np.zeros(len(left), bool)
     out[live] = True
     return out
 
@@ -255,96 +258,103 @@ def _candidate_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, text, component, members, copies) -> a row with the shingles for each pair of blocks that the text is in."""
+    """(rep, text, component, blocks, copies) -> a row with the shingles for each pair of blocks that the text is in."""
     for batch in batches:
-        rep, comp, members, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
-        n = -(-members // SET_BLOCK)
+        rep, comp, n, copies = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
         own = _block_of(rep, n)
-        names = [shingles(word_names(x.as_py())).tobytes() for x in batch.column(1)]
-        row, low, high = _meetings(own, n)
-        for i in range(0, len(row), 128):
-            r = row[i : i + 128]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(comp[r]),
-                    pa.array(low[i : i + 128]),
-                    pa.array(high[i : i + 128]),
-                    pa.array(own[r]),
-                    pa.array(rep[r]),
-                    pa.array(copies[r]),
-                    pa.array([names[k] for k in r], pa.binary()),
-                ],
-                ["comp", "low", "high", "own", "rep", "copies", "names"],
-            )
-
-
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of a block's sets."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        for k, text in enumerate(batch.column(1)):
+            names = shingles(word_names(text.as_py())).tobytes()
+            _, low, high = _meetings(own[k : k + 1], n[k : k + 1])
+            step = max(1, SET_BYTES // max(len(names), 1))
+            for i in range(0, len(low), step):
+                size = len(low[i : i + step])
+                fixed = [pa.array(np.full(size, x[k])) for x in (own, rep, copies)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(size, comp[k])),
+                        pa.array(low[i : i + step]),
+                        pa.array(high[i : i + step]),
+                        *fixed,
+                        pa.array([names] * size, pa.binary()),
+                    ],
+                    ["comp", "low", "high", "own", "rep", "copies", "names"],
+                )
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of the sets on the left with those on the right."""
+    both = len(left) + len(right)
+    owner = np.repeat(np.arange(both), [len(s) for s in (*left, *right)])
+    names, flat = np.unique(np.concatenate([*left, *right]), return_inverse=True)
     often = np.bincount(flat, minlength=len(names)) > 1
     column = np.cumsum(often) - 1
     keep = often[flat]
     owner, flat = owner[keep], column[flat[keep]]
-    out = np.zeros((n, n), np.float64)
     order = np.argsort(flat, kind="stable")
     owner, flat = owner[order], flat[order]
+    out = np.zeros((len(left), len(right)), np.float32)
     width = 4096
     for i in range(0, int(often.sum()), width):
         a, b = np.searchsorted(flat, [i, i + width])
-        grid = np.zeros((n, width), np.float32)
+        grid = np.zeros((both, min(width, int(often.sum()) - i)), np.float32)
         grid[owner[a:b], flat[a:b] - i] = 1
-        out += grid @ grid.T
-    return np.rint(out).astype(np.int64)
+        out += grid[: len(left)] @ grid[len(left) :].T
+    return out.astype(np.int64)
 
 
 def _exact_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _sorted_groups(batches, 3, 1):
         comp, low, high, own, rep, copies = (t.column(k).to_numpy() for k in range(6))
-        raw = t.column(6).to_pylist()
         new = np.ones(len(comp), bool)
         new[1:] = (comp[1:] != comp[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         begin = np.flatnonzero(new)
         for a, b in zip(begin, np.append(begin[1:], len(comp))):
-            sets = [np.frombuffer(x, np.uint64) for x in raw[a:b]]
-            both = intersections(sets)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column(6).slice(a, b - a).to_pylist()]
             size = np.array([len(s) for s in sets])
-            union = size[:, None] + size[None, :] - both
-            linked = both >= THRESHOLD * union - 1e-9
-            np.fill_diagonal(linked, False)
-            if low[a] != high[a]:
-                linked &= own[a:b, None] != own[None, a:b]
-            left, right = np.nonzero(linked)
+            # Of two blocks the one meets the other; one block meets itself.
+            rows = np.flatnonzero(own[a:b] == low[a])
+            others = np.flatnonzero(own[a:b] == high[a])
+            if not len(rows) or not len(others):
+                continue
+            links, edges = np.zeros(b - a, np.int64), []
+            for i in range(0, len(rows), 256):
+                some = rows[i : i + 256]
+                both = intersections([sets[k] for k in some], [sets[k] for k in others])
+                linked = both >= THRESHOLD * (size[some, None] + size[None, others] - both) - 1e-9
+                linked &= some[:, None] != others[None, :]
+                links[some] += linked @ copies[a:b][others]
+                if low[a] != high[a]:
+                    links[others] += copies[a:b][some] @ linked
+                left, right = np.nonzero(linked)
+                edges.append((some[left], others[right]))
+            left, right = (np.concatenate(x) for x in zip(*edges))
             root = local_roots(left, right, b - a)
-            # The least doc_id of a local component names it.
+            # The least key of a local component names it.
             least = np.full(b - a, np.iinfo(np.int64).max)
             np.minimum.at(least, root, rep[a:b])
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rep[a:b]),
-                    pa.array(least[root]),
-                    pa.array(linked.astype(np.int64) @ copies[a:b]),
-                ],
-                ["rep", "root", "links"],
+                [pa.array(rep[a:b]), pa.array(least[root]), pa.array(links)], ["rep", "root", "links"]
             )
 
 
-def similar_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_links, n_shingles) of every row of ``docs`` (doc_id, text); doc_id must not be null.
-
-    ``n_links`` counts the other rows whose text is similar or equal; ``class_id`` is the least doc_id of the class.
-    """
+def _classified(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs``: id, hash of the text, n_shingles, class_key, class_id and n_links; without a shingle the last three are null."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col("doc_id").alias("id"), "text")
-    sketched = materialise(
-        source.mapInArrow(_sketch, "id long, one long, two long, n_shingles long, codes binary"), "sketches"
-    )
+    source = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    columns = "id long, hash long, one long, two long, n_shingles long, codes binary"
+    sketched = materialise(source.mapInArrow(_sketch, columns).withColumn("row", F.monotonically_increasing_id()), "sketches")
     texts = materialise(
         sketched.filter("n_shingles > 0")
         .groupBy("one", "two")
-        .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("codes").alias("codes")),
+        .agg(
+            F.min(F.struct("row", "id", "hash")).alias("first"),
+            F.min("id").alias("least_id"),
+            F.count("*").alias("copies"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("codes").alias("codes"),
+        )
+        .select("one", "two", F.col("first.row").alias("rep"), "first.id", "first.hash", "least_id", "copies", "n_shingles", "codes"),
         "texts",
     )
     bands = texts.select("rep", "codes").mapInArrow(_band_rows, "key long, rep long")
@@ -358,14 +368,17 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     )
     likely = components(dealt.mapInArrow(_candidate_edges, "a long, b long"))
 
-    sizes = likely.groupBy("component").agg(F.count("*").alias("members"))
-    asked = likely.join(sizes, "component").join(texts.select("rep", "copies"), F.col("node") == F.col("rep"))
-    asked = asked.select("rep", "component", "members", "copies")
+    members = likely.join(texts.drop("one", "two", "codes", "least_id"), F.col("node") == F.col("rep"))
+    n_blocks = F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(8 * F.sum("n_shingles") / SET_BYTES))
+    sizes = members.groupBy("component").agg(n_blocks.cast("long").alias("n_blocks"))
+    asked = members.join(sizes, "component").select(
+        F.col("id").alias("asked_id"), F.col("hash").alias("asked_hash"), "rep", "component", "n_blocks", "copies"
+    )
     small_batches(spark, 64)
     sets = (
-        source.join(asked, F.col("id") == F.col("rep"))
+        source.join(asked, F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("hash") == F.col("asked_hash")))
         .dropDuplicates(["rep"])
-        .select("rep", "text", "component", "members", "copies")
+        .select("rep", "text", "component", "n_blocks", "copies")
         .mapInArrow(_set_rows, "comp long, low long, high long, own long, rep long, copies long, names binary")
         .repartition("comp", "low", "high")
         .sortWithinPartitions("comp", "low", "high")
@@ -373,34 +386,55 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     links = materialise(sets.mapInArrow(_exact_links, "rep long, root long, links long"), "links")
     small_batches(spark)
     classes = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    named = classes.join(texts.select("rep", "least_id"), F.col("node") == F.col("rep"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("class_least"))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = (
-        texts.select("one", "two", "rep", "copies")
-        .join(classes, F.col("rep") == F.col("node"), "left")
+    by_text = (
+        texts.select("one", "two", "rep", "copies", "least_id")
+        .join(classes.join(least, "component"), F.col("rep") == F.col("node"), "left")
         .join(counts, "rep", "left")
         .select(
             F.col("one").alias("t1"),
             F.col("two").alias("t2"),
-            F.coalesce("component", "rep").alias("class_id"),
+            F.coalesce("component", "rep").alias("class_key"),
+            F.coalesce("class_least", "least_id").alias("class_id"),
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         )
     )
-    return sketched.join(
-        named, (F.col("one") == F.col("t1")) & (F.col("two") == F.col("t2")) & (F.col("n_shingles") > 0), "left"
-    ).select(
+    same = (F.col("one") == F.col("t1")) & (F.col("two") == F.col("t2")) & (F.col("n_shingles") > 0)
+    return sketched.join(by_text, same, "left").select("id", "hash", "n_shingles", "class_key", "class_id", "n_links")
+
+
+def similar_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, n_shingles) of every row of ``docs`` (doc_id, text).
+
+    ``n_links`` counts the other rows whose text is similar or equal; ``class_id`` is the least doc_id of the class.
+    """
+    return _classified(docs).select(
         F.col("id").alias("doc_id"),
-        F.coalesce("class_id", "id").alias("class_id"),
+        F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         "n_shingles",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns kept, with one document of each class: that with the class's id. Null ids stay."""
-    known = docs.filter(F.col("doc_id").isNotNull())
-    gone = similar_classes(known).filter("class_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs``, all columns kept, with one row of each class: one of least doc_id (null last). Rows without a shingle stay."""
+    rows = materialise(_classified(docs), "classified")
+    linked = rows.filter("n_shingles > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("w")
+    kept = linked.groupBy("class_key").agg(first).select(F.col("w.id").alias("kept_id"), F.col("w.hash").alias("kept_hash"))
+    bare = rows.filter("n_shingles = 0").select(F.col("id").alias("kept_id"), F.col("hash").alias("kept_hash"))
+    often = linked.groupBy("id", "hash").agg(F.count("*").alias("n")).filter("n > 1")
+    often = often.select(F.col("id").alias("often_id"), F.col("hash").alias("often_hash"))
+    repeats = F.col("kept_id").eqNullSafe(F.col("often_id")) & (F.col("kept_hash") == F.col("often_hash"))
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
+    on = F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash"))
+    once = keyed.join(kept.join(often, repeats, "left_anti").unionByName(bare), on, "left_semi")
+    # Rows that agree in id and text are told apart by nothing else, so one of them is taken.
+    again = keyed.join(kept.join(often, repeats, "left_semi"), on, "left_semi").dropDuplicates(["__id", "__hash"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(documents(spark, sf_dir).filter(F.col("doc_id").isNotNull()))
+    return similar_classes(documents(spark, sf_dir))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import chat_format, decontaminate, html_extract, language_id, ngram_join, packing
 from cellweave.llm import quality_model, quality_rules, sharding, suffix_dedup
-from cellweave.llm.components import components
+from cellweave.llm.components import components, local_roots
 from cellweave.llm.common import documents
 from tests.oracle import differences, views
 
@@ -304,6 +304,56 @@ def test_join_equals_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+def test_join_of_a_large_class_counts_all_links(spark, monkeypatch):
+    """Some thousand near copies in blocks, against the sizes of intersections of their sets."""
+    rng = np.random.default_rng(6)
+    base = rng.choice(WORDS, 300)
+    texts = []
+    for k in range(1500):
+        w = base.copy()
+        at = rng.choice(300, int(rng.integers(0, 9)), replace=False)
+        w[at] = [f"y{x}" for x in rng.integers(0, 40, len(at))]
+        texts.append(" ".join(w))
+    monkeypatch.setattr(ngram_join, "SET_BLOCK", 400)
+    out = {r.doc_id: r for r in ngram_join.similar_classes(docs_of(spark, texts)).collect()}
+    sets = [np.unique([hash(tuple(t.split()[i : i + 5])) for i in range(296)]) for t in texts]
+    grid = np.zeros((1500, 1 + max(np.unique(np.concatenate(sets), return_inverse=True)[1])), np.float32)
+    names = {n: i for i, n in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    for k, x in enumerate(sets):
+        grid[k, [names[n] for n in x.tolist()]] = 1
+    both, size = grid @ grid.T, grid.sum(1)
+    linked = both >= 0.8 * (size[:, None] + size[None] - both) - 1e-6
+    assert [out[i].n_links for i in range(1500)] == (linked.sum(1) - 1).tolist()
+    assert [out[i].class_id for i in range(1500)] == local_roots(*np.nonzero(linked), 1500).tolist()
+
+
+def test_join_with_repeated_and_null_ids(spark):
+    a, b = " ".join(WORDS[:80]), " ".join(WORDS[100:180])
+    rows = [(5, a), (5, a), (5, b), (3, a + " more"), (None, a), (None, b + " end"), (None, "alone in here"), (8, None), (8, None), (9, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "hash": F.lit("h")})
+    got = sorted(((r.doc_id or -1, r.class_id or -1, r.n_links) for r in ngram_join.similar_classes(docs).collect()))
+    assert got == sorted([(5, 3, 3), (5, 3, 3), (5, 5, 2), (3, 3, 3), (-1, 3, 3), (-1, 5, 2), (-1, -1, 0), (8, 8, 0), (8, 8, 0), (9, 5, 2)])
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+    assert left == sorted([(3, a + " more"), (5, b), (-1, "alone in here"), (8, ""), (8, "")])
+
+
+def test_pruning_by_steps_equals_whole_rows():
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 3, (60, ngram_join.CODES)).astype(np.uint8)
+    codes[30:] = np.where(rng.random((30, ngram_join.CODES)) < 0.12, codes[30:], codes[:30])
+    left, right = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    band = rng.integers(0, 6, len(left))
+    same = codes[left] == codes[right]
+    expected = same.reshape(-1, ngram_join.BANDS, ngram_join.ROWS).all(2).argmax(1) == band
+    for n, least in zip(ngram_join.STEPS, ngram_join.least_matches()):
+        expected &= same[:, :n].sum(1) >= least
+    expected &= same.reshape(-1, ngram_join.BANDS, ngram_join.ROWS).all(2)[np.arange(len(left)), band]
+    met = same.reshape(-1, ngram_join.BANDS, ngram_join.ROWS).all(2)[np.arange(len(left)), band]
+    assert (ngram_join.prune(codes, left, right, band)[met] == expected[met]).all() and expected.any()
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.similar_classes(docs_of(spark, [])).count() == 0
     assert ngram_join.similar_classes(docs_of(spark, ["a b", None])).filter("class_id <> doc_id").count() == 0
