@@ -76,33 +76,38 @@ def sampled_suffixes(rank: np.ndarray, width: int) -> np.ndarray:
     return (value & low).astype(np.int64)
 
 
-def stretches(row: np.ndarray, first: int = FIRST, length: int = LENGTH):
-    """Sampled suffixes of a byte row: (ranks, name, from, to) arrays.
-
-    The starts of all ``length``-byte strings fall into stretches from..to, one for each sampled suffix that is the least of
-    its window. ``name`` names all bytes row[from : to + length] of the stretch, so two stretches with one name hold the same
-    strings. ``ranks`` has the name of the suffix's first ``first`` bytes in its upper 40 bits; below, 12 bits each name the
-    bytes that double it to the left and to the right, or are 0 where no string of the stretch holds them. Two equal strings
-    always lie in stretches whose upper 40 bits agree, and the string holds one of the doubled ones.
+def stretches(row: np.ndarray, bounds: np.ndarray, first: int = FIRST, length: int = LENGTH):
+    """Sampled suffixes of the texts row[bounds[i]:bounds[i+1]]: (ranks, name, from, to, text) arrays, in the order of the row.
+
+    The starts of all ``length``-byte strings of a text fall into stretches from..to, one for each sampled suffix that is the
+    least of its window. ``name`` names all bytes row[from : to + length] of the stretch, so two stretches with one name hold
+    the same strings. ``ranks`` has the name of the suffix's first ``first`` bytes in its upper 40 bits; below, 12 bits each
+    name the bytes that double it to the left and to the right, or are 0 where no string of the stretch holds them. Two equal
+    strings always lie in stretches whose upper 40 bits agree, and the string holds one of the doubled ones. No ``ranks`` is -1.
     """
-    if len(row) < length:
+    count = np.maximum(np.diff(bounds) - length + 1, 0)
+    if not count.sum():
         none = np.empty(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none, none
     names = Names(row)
     rank = names.every(first)
-    at = sampled_suffixes(rank, length - first + 1)
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    end = np.append(begin[1:], len(at)) - 1
-    place, more = at[begin], (length - first) // 2
-    twelve = np.uint64(0xFFF)
+    text = np.repeat(np.arange(len(count)), count)
+    start = np.arange(len(text)) + np.repeat(bounds[:-1] - (np.cumsum(count) - count), count)
+    at = sampled_suffixes(rank, length - first + 1)[start]  # windows across texts are left out
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
+    one = np.flatnonzero(new)
+    begin, place, text = start[one], at[one], text[one]
+    end = start[np.append(one[1:], len(at)) - 1]
+    more, twelve = (length - first) // 2, np.uint64(0xFFF)
     left_ok, right_ok = begin <= place - more, end + length >= place + first + more
-    left_from = np.where(left_ok, place - more, place)
-    right_to = np.where(right_ok, place + first + more, place)
-    left = np.where(left_ok, (names.of(left_from, place + first) & twelve) | np.uint64(1), np.uint64(0))
-    right = np.where(right_ok, (names.of(place, right_to) & twelve) | np.uint64(1), np.uint64(0))
-    ranks = (rank[place] & ~np.uint64(0xFFFFFF)) | (left << np.uint64(12)) | right
+    left = names.of(np.where(left_ok, place - more, place), place + first) & twelve | np.uint64(1)
+    right = names.of(place, np.where(right_ok, place + first + more, place)) & twelve | np.uint64(1)
+    right = np.where(right == twelve, np.uint64(1), right)
+    ranks = rank[place] & ~np.uint64(0xFFFFFF) | np.where(left_ok, left << np.uint64(12), np.uint64(0))
+    ranks |= np.where(right_ok, right, np.uint64(0))
     name = Names(row, 1).of(begin, end + length)
-    return ranks.view(np.int64), name.view(np.int64), begin, end
+    return ranks.view(np.int64), name.view(np.int64), begin, end, text
 
 
 def string_pairs(row: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

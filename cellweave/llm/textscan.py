@@ -89,16 +89,22 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[pa.Array]:
         i = j
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts as one row (null: none), and the bounds of each text in it."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    row = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.empty(0, np.uint8)
+    return row, bounds - bounds[0]
+
+
 def chunk_bounds(texts: pa.Array, fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The folded bytes of all texts; start, end and text of each chunk that spaces (after the folding) part.
 
     Without another table, A-Z are folded to lower case and ASCII white space to spaces.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    row = fold[np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.empty(0, np.uint8)]
-    bounds = bounds - bounds[0]
+    row, bounds = text_bytes(texts)
+    row = fold[row]
     inside = row != 32
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]

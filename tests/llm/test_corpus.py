@@ -398,6 +398,45 @@ def test_repeats_equal_brute_force(spark):
     assert suffix_dedup.dedup_digest(docs_of(spark, [])).count() == 0
 
 
+def test_repeats_with_hot_lines_and_equal_ids(spark):
+    """A line in every document, and ids that repeat with equal and different texts; map tasks combine now and then."""
+    rng = np.random.default_rng(12)
+    line = "this very common line stands in every one of all documents, word for word."
+    rows = []
+    for k in range(160):
+        own = [" ".join(rng.choice(WORDS, int(rng.integers(1, 25)))) for _ in range(2)]
+        rows.append((int(rng.integers(0, 60)) if k % 3 else 1000 + k, f"{own[0]} {line} {own[1]}"))
+    rows += [rows[5], (None, line), (None, rows[0][1]), (rows[0][0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(1)).repartition(3)
+    key = lambda d: (1 << 63) if d is None else d
+    strings = [{(t or "").encode()[k : k + 50] for k in range(len((t or "").encode()) - 49)} for _, t in rows]
+    expected = []
+    for d, t in rows:
+        b = (t or "").encode()
+        smaller = set().union(*(s for s, (e, _) in zip(strings, rows) if key(e) < key(d)))
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if b[k : k + 50] in smaller:
+                gone[k : k + 50] = True
+        expected.append((str(d), len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    for steps in (suffix_dedup.STEP_ROWS, 60):
+        got = [(str(r.doc_id), r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.dedup_digest(docs, steps).collect()]
+        assert sorted(got) == sorted(expected)
+    assert suffix_dedup.remove_repeats(docs).columns == ["doc_id", "text", "hash"]
+
+
+def test_map_tasks_send_little_of_a_shared_passage():
+    n = 5000
+    ranks = np.full(n, (77 << 24) | (5 << 12) | 7)
+    sent, _, _ = suffix_dedup.combine_ranks(ranks, np.arange(n) + 10, np.arange(n))  # different stretches around one passage
+    assert (sent >= 0).sum() <= 4 and (sent == -2).sum() >= n - 4
+    sent, _, docs = suffix_dedup.combine_ranks(ranks, np.full(n, 9), np.arange(n)[::-1].copy())  # one stretch
+    assert (sent >= 0).sum() == 1 and docs[sent >= 0] == [0] and (sent == -1).sum() == n - 1
+    one, two = np.full(n, 3), np.full(n, 4)
+    out = suffix_dedup.combine_strings(one, two, np.arange(n), np.arange(n))
+    assert (out[3] >= 0).sum() == 1 and len(set(zip(out[0].tolist(), out[1].tolist()))) == n
+
+
 # ---- 7 ----
 
 
