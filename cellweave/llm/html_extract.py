@@ -12,9 +12,10 @@ together, only what stands in one of them is kept.
 Inside a block white space becomes one space (a line break element is white space), ends are trimmed, character references are
 decoded, and the blocks that are not empty are joined by ``\n``.
 
-Defined cases: null or empty html gives an empty text; unclosed and misnested tags are closed as browsers do; an unterminated
-comment or script runs to the end of the page; repeated rows are extracted alike; an empty table gives no row; further columns
-are ignored.
+Defined cases: null or empty html gives an empty text; unclosed and misnested tags are closed as browsers do, and elements nest
+``MOST_DEPTH`` deep, a further one closing the innermost; an unterminated comment or script runs to the end of the page; a tag
+whose quotes do not end closes at its first ``>``, and one without ``>`` is text; repeated rows are extracted alike; an empty
+table gives no row; further columns are ignored. Time and memory are linear in a page's length.
 """
 
 from __future__ import annotations
@@ -66,11 +67,14 @@ SENTENCE_MARKS = 0.5  # marks a node from which a path is sentences, however sho
 NAMED_SHARE = 0.5  # of the content's characters, for article and main elements to be all of the text
 HEADINGS = {f"h{k}": k for k in range(1, 7)}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
-    re.S,
-)
+#: Open elements at most, as in browsers.
+MOST_DEPTH = 512
+#: Tags of a page that may turn out to have open quotes before all quotes are ignored.
+MOST_OPEN_QUOTES = 16
+
+_MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_TO_END = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
@@ -95,118 +99,146 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def markup(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, rest) of comments and declarations (kind !), CDATA ([), start tags (empty) and end tags (/).
+
+    What is sent to the generator is the place at which it goes on.
+    """
+    at, open_quotes = 0, 0
+    while m := _MARKUP.search(html, at):
+        start, opening = m.start(), m[0]
+        if opening in ("<!--", "<![CDATA["):
+            close = "-->" if opening == "<!--" else "]]>"
+            end = html.find(close, m.end())
+            end = len(html) if end < 0 else end + len(close)
+            kind, name, rest = ("!", "", "") if opening == "<!--" else ("[", "", html[start + 9 : end].removesuffix("]]>"))
+        else:
+            first = html.find(">", start)
+            if first < 0:
+                if opening[1] not in "!?":
+                    return  # what is left has no tag
+                first = len(html) - 1
+            end, kind, name, rest = first + 1, "!", "", ""
+            if opening[1] not in "!?":
+                named = _NAME.match(html, start)
+                whole = _TO_END.match(html, named.end()) if open_quotes < MOST_OPEN_QUOTES else None
+                if whole:
+                    end = whole.end()
+                else:
+                    open_quotes += 1
+                kind, name, rest = named[1], named[2].lower(), html[named.end() : end - 1]
+        skipped_to = yield start, end, kind, name, rest
+        at = skipped_to or end
+
+
 class Page:
-    """Text nodes and blocks of one page. A node is (path, text, ancestors); a block is a list of nodes."""
+    """Text nodes and blocks of one page. A block is a list of nodes.
+
+    A node is (path, text, whether it is in an article or main element, the rank of the heading that it is in or 0).
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[list[tuple[str, str, tuple[int, ...]]]] = [[]]
-        self.tags: dict[int, str] = {0: ""}
-        # Open elements: tag, element, whether it or an ancestor is left out, path, ancestors and itself.
-        stack: list[tuple[str, int, bool, str, tuple[int, ...]]] = []
-        path, chain, out = "", (), False
-        articles = at = n = 0
+        self.blocks: list[list[tuple[int, str, bool, int]]] = [[]]
+        paths: dict[tuple[int, str], int] = {}
+        # Open elements: tag, whether it or an ancestor is left out, and path, named and rank of its nodes.
+        stack: list[tuple[str, bool, int, bool, int]] = []
+        out, path, named, rank = False, 0, False, 0
+        at = 0
 
         def settle() -> None:
-            nonlocal path, chain, out
-            _, _, out, path, chain = stack[-1] if stack else ("", 0, False, "", ())
+            nonlocal out, path, named, rank
+            _, out, path, named, rank = stack[-1] if stack else ("", False, 0, False, 0)
 
         def text(raw: str) -> None:
             if not out and raw:
-                self.blocks[-1].append((path, entities.unescape(raw), chain))
+                self.blocks[-1].append((path, entities.unescape(raw), named, rank))
 
         def edge() -> None:
             if self.blocks[-1]:
                 self.blocks.append([])
 
         def pop(k: int) -> None:
-            nonlocal articles
-            for t, *_ in stack[k:]:
-                articles -= t in ("article", "main")
             if any(t in BLOCK for t, *_ in stack[k:]):
                 edge()
             del stack[k:]
             settle()
 
-        while m := _TOKEN.search(html, at):
-            text(html[at : m.start()])
-            at = m.end()
-            tag = m[2].lower() if m[2] else ""
-            if not tag:
-                if m[0].startswith("<![CDATA["):
-                    text(entities.unescape(m[0][9:-3]).replace("&", "&amp;"))
-                continue
-            if m[1]:
-                found = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+        tags = markup(html)
+        found = next(tags, None)
+        while found:
+            start, end, kind, tag, rest = found
+            text(html[at:start])
+            at = end
+            if kind == "[":
+                text(entities.unescape(rest).replace("&", "&amp;"))
+            elif kind == "/":
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 if tag == "br":
                     text(" ")
-                elif found is not None:
-                    if tag in BLOCK or not any(t in BLOCK for t, *_ in stack[found:]):
-                        pop(found)
+                elif k is not None:
+                    if tag in BLOCK or not any(t in BLOCK for t, *_ in stack[k:]):
+                        pop(k)
                     else:  # an inline end tag does not close blocks
-                        del stack[found]  # what is open inside keeps its path
+                        del stack[k]  # what is open inside keeps its path
                         settle()
                 elif tag in BLOCK:
                     edge()
-                continue
-            if tag == "br":
+            elif tag == "br":
                 text(" ")
-                continue
-            if tag in BLOCK:
-                edge()
-                scope = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in CONTAINER or stack[k][0] == "li"), -1)
-                p = next((k for k in range(len(stack) - 1, scope, -1) if stack[k][0] == "p"), None)
-                if p is not None:
-                    pop(p)
-            if tag in CLOSES:
-                closed, stop = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in closed:
-                        pop(k)
-                        break
-            if tag in VOID:
-                continue
-            if tag in RAW:
-                if m[3].endswith("/"):
-                    continue
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                continue
-            n += 1
-            self.tags[n] = tag
-            gone = out or _left_out(tag, m[3], articles > 0)
-            articles += tag in ("article", "main")
-            stack.append((tag, n, gone, f"{path}/{tag}", (*chain, n)))
-            settle()
+            elif tag:
+                if tag in BLOCK:
+                    edge()
+                    scope = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in CONTAINER or stack[k][0] == "li"), -1)
+                    p = next((k for k in range(len(stack) - 1, scope, -1) if stack[k][0] == "p"), None)
+                    if p is not None:
+                        pop(p)
+                if tag in CLOSES:
+                    closed, stop = CLOSES[tag]
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in stop:
+                            break
+                        if stack[k][0] in closed:
+                            pop(k)
+                            break
+                if tag in RAW:
+                    if not rest.endswith("/"):
+                        close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
+                        at = close.end() if close else len(html)
+                        found = tags.send(at) if at < len(html) else None
+                        continue
+                elif tag not in VOID:
+                    if len(stack) >= MOST_DEPTH:
+                        pop(MOST_DEPTH - 1)
+                    gone = out or _left_out(tag, rest, named)
+                    path = paths.setdefault((path, tag), len(paths) + 1)
+                    stack.append((tag, gone, path, named or tag in ("article", "main"), rank or HEADINGS.get(tag, 0)))
+                    settle()
+            found = next(tags, None)
         text(html[at:])
 
     def content(self) -> list[str]:
-        nodes = [(p, t, c) for block in self.blocks for p, t, c in block if not t.isspace()]
+        nodes = [(p, t) for block in self.blocks for p, t, *_ in block if not t.isspace()]
         if not nodes:
             return []
         size, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-        for p, t, _ in nodes:
+        for p, t in nodes:
             size[p] += len(t.strip())
             marks[p] += len(PUNCTUATION.findall(t))
             count[p] += 1
-        length = smooth([size[p] / count[p] for p, _, _ in nodes])
-        mark = smooth([marks[p] / count[p] for p, _, _ in nodes])
+        length = smooth([size[p] / count[p] for p, _ in nodes])
+        mark = smooth([marks[p] / count[p] for p, _ in nodes])
         fused = [(a * (1 + b)) ** 0.5 for a, b in zip(length, mark)]
-        letters = [len(t.strip()) for _, t, _ in nodes]
+        letters = [len(t.strip()) for _, t in nodes]
         limit = min(CONTENT_SHARE * sum(f * n for f, n in zip(fused, letters)) / sum(letters), CLEAR)
         content = iter([f >= limit or b >= SENTENCE_MARKS for f, b in zip(fused, mark)])
-        kept = [any([next(content) for _, t, _ in block if not t.isspace()]) for block in self.blocks]
-        inside = [any(self.tags[e] in ("article", "main") for _, _, c in block for e in c) for block in self.blocks]
-        held = [sum(len(t) for _, t, _ in block) * k for block, k in zip(self.blocks, kept)]
+        kept = [any([next(content) for _, t, *_ in block if not t.isspace()]) for block in self.blocks]
+        inside = [any(named for _, _, named, _ in block) for block in self.blocks]
+        held = [sum(len(t) for _, t, *_ in block) * k for block, k in zip(self.blocks, kept)]
         if sum(n for n, i in zip(held, inside) if i) >= NAMED_SHARE * sum(held):
             kept = [k and i for k, i in zip(kept, inside)]
         else:
             inside = [True] * len(kept)
-        ranks = [
-            min((HEADINGS[self.tags[e]] for _, _, c in block for e in c if self.tags[e] in HEADINGS), default=0)
-            for block in self.blocks
-        ]
+        ranks = [min((rank for *_, rank in block if rank), default=0) for block in self.blocks]
         reach = 0  # a heading of a rank below this is followed by content of its own
         if any(k and not rank for k, rank in zip(kept, ranks)):  # else the headings are all there is
             for k in range(len(kept) - 1, -1, -1):
@@ -217,7 +249,7 @@ class Page:
                     reach = 7
         out = []
         for block, k in zip(self.blocks, kept):
-            said = " ".join("".join(t for _, t, _ in block).split())
+            said = " ".join("".join(t for _, t, *_ in block).split())
             if k and said:
                 out.append(said)
         return out

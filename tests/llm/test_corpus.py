@@ -64,6 +64,25 @@ def test_text_is_chosen_by_path():
     assert marked.count("Home") <= 4 and marked.startswith("Head\n") and "More" not in marked and marked.count("marks") == 2
 
 
+def test_ratios_decide(monkeypatch):
+    """No element or class tells these blocks apart, and a constant ratio keeps them all."""
+    said = "This sentence, like the others, has some words and marks in it; is it not so? "
+    page = f"<body><div><span>Home</span></div><div><span>About</span></div>{f'<div><p>{said * 3}</p></div>' * 8}</body>"
+    left = html_extract.main_text(page)
+    assert "Home" not in left and left.count("is it not so?") == 24
+    monkeypatch.setattr(html_extract, "CONTENT_SHARE", 0.0)
+    assert "Home" in html_extract.main_text(page)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<span>a", "<a '", '<a "x', "<b><div></b>", "<!--", "</i>", "<![CDATA[", "<p>a b. ", "<ul><li>x"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(piece * (1_000_000 // len(piece)) + ">")
+    assert time.process_time() - began < 40
+
+
 def test_pages_query(spark):
     rows = [(1, "u", None), (2, None, "<p>a</p>"), (2, None, "<p>a</p>")]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
