@@ -121,7 +121,7 @@ def nearest_within(points: DataFrame, targets: DataFrame, distance: float) -> Da
     return near.groupBy("sample", "src").agg(first.alias("f")).select("sample", "src", c("f.dst").alias("dst"), c("f.dist").alias("dist"))
 
 
-def nearest_neighbours(points: DataFrame, k: int, most_rounds: int = 30, radius: float | None = None) -> DataFrame:
+def nearest_neighbours(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     """(sample, src, dst, dist, place): the k nearest others of every point, exact, the least id on ties.
 
     A grid search of radius r is exact for the points whose k-th neighbour lies within r; the others go on with 2 r. A sample of
@@ -138,7 +138,7 @@ def nearest_neighbours(points: DataFrame, k: int, most_rounds: int = 30, radius:
     done: list[DataFrame] = []
     todo = points
     w = Window.partitionBy("sample", "src").orderBy("dist", "dst")
-    for _ in range(most_rounds):
+    while True:
         last = radius >= wide
         near = radius_pairs(todo, points, radius).withColumn("place", F.row_number().over(w)).filter(c("place") <= k)
         near = materialise(near, "neighbours")

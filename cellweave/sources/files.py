@@ -49,16 +49,28 @@ def read_matrix_market(spark: SparkSession, matrix: str, features: str, barcodes
     genes = _numbered_lines(spark, features).select(c("idx").alias("g"), F.split("value", "\t").alias("f"))
     genes = genes.select("g", F.coalesce(F.get("f", F.lit(1)), F.get("f", F.lit(0))).alias("feature_name"))
     cells = _numbered_lines(spark, barcodes).select(c("idx").alias("b"), c("value").alias("cell_id"))
-    size = body.first()  # the size line is the first that is no comment, and no entry can equal it unless it is the only line
-    kept = body.filter(c("value") != (size[0] if size else "")).select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("b"), parts[2].cast("double").alias("n"))
+    size = body.first()  # the first line that is no comment
+    if size:
+        # One such line goes; an entry may read like it, and is then put back.
+        like_it = c("value") == size["value"]
+        entries = body.filter(like_it).count() - 1
+        body = body.filter(~like_it).unionByName(spark.range(entries).select(F.lit(size["value"]).alias("value")))
+    kept = body.select(parts[0].cast("long").alias("g"), parts[1].cast("long").alias("b"), parts[2].cast("double").alias("n"))
     return kept.join(F.broadcast(genes), "g").join(cells, "b").select("cell_id", "feature_name", "n")
 
 
-def read_panel_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Genes of a panel table; the name column is Gene, or Name where there is none."""
+def read_panel_tsv(spark: SparkSession, path: str, genes: DataFrame | None = None) -> DataFrame:
+    """Genes of a panel table; the name column is Gene, or Name where there is none.
+
+    With ``genes`` (feature_name, ...) all of those, with the panel's columns and whether they are in it.
+    """
     raw = spark.read.csv(path, sep="\t", header=True)
     name = "Gene" if "Gene" in raw.columns else "Name"
-    return raw.withColumn("feature_name", c(name)).withColumn("in_panel", F.lit(True))
+    panel = raw.withColumn("feature_name", c(name)).withColumn("in_panel", F.lit(True))
+    if genes is None:
+        return panel
+    own = [x for x in panel.columns if x == "feature_name" or x not in genes.columns]
+    return genes.join(panel.select(*own).dropDuplicates(["feature_name"]), "feature_name", "left").na.fill(False, ["in_panel"])
 
 
 def read_panel_json(spark: SparkSession, path: str) -> DataFrame:
