@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.ranking import arg_max
 from cellweave.functions.scalar import ratio
+from cellweave.operators.reads import seeded_order
 
 
 def _group_sums(values: DataFrame, cells: DataFrame, value: str) -> DataFrame:
@@ -92,7 +93,7 @@ def set_scores(
     means = lognorm.groupBy("feature_name").agg(F.sum("lognorm").alias("total"))
     binned = means.withColumn("bin", F.ntile(bins).over(Window.orderBy("total", "feature_name")))  # panel-sized
     present = members.join(binned, "feature_name").select("set", "feature_name", "bin")
-    order = Window.partitionBy("set", "bin").orderBy(F.xxhash64("feature_name", F.lit(seed)), "feature_name")
+    order = Window.partitionBy("set", "bin").orderBy(seeded_order(seed, "feature_name"), "feature_name")
     wanted = present.groupBy("set", "bin").agg(F.count("*").alias("k"))
     own = present.select(F.col("set").alias("s2"), F.col("feature_name").alias("g2"))
     controls = (

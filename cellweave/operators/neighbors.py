@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.ranking import average_rank, false_discovery
 from cellweave.functions.scalar import ratio
+from cellweave.operators.reads import seeded_order
 from cellweave.operators.spatial import radius_pairs
 
 c = F.col
@@ -46,7 +47,7 @@ def shuffled_labels(cells: DataFrame, permutations: int, seed: int, label: str =
     """(sample, cell_id, perm, label): labels dealt anew within each sample, by hash order, so partitioning does not matter."""
     perms = cells.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     by_id = Window.partitionBy("sample", "perm").orderBy("cell_id")
-    by_hash = Window.partitionBy("sample", "perm").orderBy(F.xxhash64("cell_id", "perm", F.lit(seed)), "cell_id")
+    by_hash = Window.partitionBy("sample", "perm").orderBy(seeded_order(seed, "cell_id", "perm"), "cell_id")
     ranked = perms.select("sample", "cell_id", "perm", label, F.row_number().over(by_id).alias("i"), F.row_number().over(by_hash).alias("j"))
     a = ranked.select("sample", "perm", "cell_id", c("i").alias("k"))
     b = ranked.select("sample", "perm", label, c("j").alias("k"))

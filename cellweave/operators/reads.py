@@ -203,14 +203,15 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def seeded_order(seed: int, *keys: str) -> Column:
-    """An order that depends on keys and seed alone, not on partitioning."""
-    return F.xxhash64(*keys, F.lit(seed))
+    """An order that depends on keys and seed alone, not on partitioning: hexadecimal digits that any SQL engine can make."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
 def fraction_sample(df: DataFrame, fraction: float, seed: int, *keys: str) -> DataFrame:
     """A row is taken by the hash of its keys, so the sample is the same however the rows are partitioned."""
-    scale = 1 << 40
-    return df.filter(F.pmod(seeded_order(seed, *keys), F.lit(scale)) < int(fraction * scale))
+    if fraction >= 1:
+        return df
+    return df.filter(F.substring(seeded_order(seed, *keys), 1, 10) < f"{int(fraction * (1 << 40)):010x}")
 
 
 def fixed_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

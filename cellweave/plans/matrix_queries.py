@@ -151,7 +151,26 @@ def x10(spark, sf):
 _SETS = {"first": ["Brand#11", "Brand#12", "none"], "second": ["Brand#41", "Brand#53"]}
 
 
-@register("x11_set_scores")
+@register(
+    "x11_set_scores",
+    f"""WITH {_NORM}, m AS (SELECT feature_name, sum(lognorm) AS total FROM x GROUP BY ALL),
+    b AS (SELECT *, ntile(5) OVER (ORDER BY total, feature_name) AS bin FROM m),
+    sets(s, feature_name) AS (VALUES {", ".join(f"('{k}', '{g}')" for k, v in _SETS.items() for g in v)}),
+    p AS (SELECT s, b.feature_name, bin FROM sets JOIN b USING (feature_name)),
+    w AS (SELECT s, bin, count(*) AS k FROM p GROUP BY ALL),
+    o AS (SELECT w.s, k, b.feature_name, row_number() OVER (PARTITION BY w.s, w.bin
+        ORDER BY md5(concat_ws('|', b.feature_name, '0')), b.feature_name) AS place
+      FROM w JOIN b ON w.bin = b.bin LEFT JOIN p ON p.s = w.s AND p.feature_name = b.feature_name WHERE p.s IS NULL),
+    roles AS (SELECT s, feature_name, 1 AS role FROM p UNION ALL SELECT s, feature_name, 0 FROM o WHERE place <= 5 * k),
+    size AS (SELECT s, sum(role) AS n_in, sum(1 - role) AS n_out FROM roles GROUP BY ALL),
+    sums AS (SELECT sample, cell_id, s, sum(lognorm * role) AS a, sum(lognorm * (1 - role)) AS b FROM x JOIN roles USING (feature_name)
+      GROUP BY ALL),
+    scored AS (SELECT f_cells.sample, f_cells.cell_id, size.s,
+      round(coalesce(coalesce(a, 0) / nullif(n_in, 0), 0) - coalesce(coalesce(b, 0) / nullif(n_out, 0), 0), 6) AS score
+      FROM f_cells CROSS JOIN size LEFT JOIN sums ON f_cells.sample = sums.sample AND f_cells.cell_id = sums.cell_id AND size.s = sums.s)
+    SELECT sample, cell_id, s AS "set", score FROM scored
+    QUALIFY row_number() OVER (PARTITION BY sample, cell_id ORDER BY score DESC, s) = 1""",
+)
 def x11(spark, sf):
     at = cells(spark, sf)
     scores = mk.set_scores(tf.log_normalise(counts(spark, sf)), at, _SETS).withColumn("score", F.round("score", 6))

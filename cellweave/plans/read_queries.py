@@ -606,17 +606,27 @@ def o2(spark, sf):
     return top.unionByName(low)
 
 
-@register("o3_o6_fraction_sample")
+@register(
+    "o3_o6_fraction_sample",
+    f"SELECT sample, cell_id FROM f_cells WHERE substr(md5(concat_ws('|', sample, cell_id, '0')), 1, 10) < '{int(0.1 * (1 << 40)):010x}'",
+)
 def o3(spark, sf):
     return rd.fraction_sample(cells(spark, sf), 0.1, 0, "sample", "cell_id").select("sample", "cell_id")
 
 
-@register("o4_o5_fixed_sample")
+@register(
+    "o4_o5_fixed_sample",
+    "SELECT sample, cell_id FROM f_cells ORDER BY md5(concat_ws('|', sample, cell_id, '0')), sample, cell_id LIMIT 500",
+)
 def o4(spark, sf):
     return rd.fixed_sample(cells(spark, sf), 500, 0, "sample", "cell_id").select("sample", "cell_id")
 
 
-@register("o7_gene_folds")
+@register(
+    "o7_gene_folds",
+    "SELECT feature_name, ntile(10) OVER (ORDER BY md5(concat_ws('|', feature_name, '0')), feature_name)::INT AS fold "
+    "FROM (SELECT DISTINCT feature_name FROM f_counts)",
+)
 def o7(spark, sf):
     genes = counts(spark, sf).select("feature_name").distinct()  # a panel
     order = Window.orderBy(rd.seeded_order(0, "feature_name"), "feature_name")

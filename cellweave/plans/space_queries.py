@@ -172,7 +172,20 @@ def n3(spark, sf):
     return nb.label_pair_counts(sp.radius_graph(at, 50), at)
 
 
-@register("n3_enrichment")
+@register(
+    "n3_enrichment",
+    f"""WITH {_RADIUS}, perms AS (SELECT unnest(range(1, 21)) AS perm),
+    r AS (SELECT sample, cell_id, cell_type, perm, row_number() OVER (PARTITION BY sample, perm ORDER BY cell_id) AS i,
+      row_number() OVER (PARTITION BY sample, perm ORDER BY md5(concat_ws('|', cell_id, perm, '0')), cell_id) AS j FROM f_cells, perms),
+    dealt AS (SELECT a.perm, a.cell_id, b.cell_type FROM r a JOIN r b ON a.sample = b.sample AND a.perm = b.perm AND a.i = b.j),
+    drawn AS (SELECT x.cell_type AS a, y.cell_type AS b, x.perm, count(*) AS n FROM edges JOIN dealt x ON src = x.cell_id
+      JOIN dealt y ON dst = y.cell_id AND x.perm = y.perm GROUP BY ALL),
+    s AS (SELECT a, b, sum(n) / 20 AS mean, sum(n * n) / 20 AS square FROM drawn GROUP BY ALL),
+    seen AS (SELECT x.cell_type AS a, y.cell_type AS b, count(*) AS n FROM edges JOIN f_cells x ON src = x.cell_id
+      JOIN f_cells y ON dst = y.cell_id GROUP BY ALL)
+    SELECT a, b, n, round((n - coalesce(mean, 0)) / nullif(sqrt(greatest(coalesce(square - mean * mean, 0), 0)), 0), 6) AS z
+    FROM seen LEFT JOIN s USING (a, b)""",
+)
 def n3_enrichment(spark, sf):
     at = cells(spark, sf)
     return nb.enrichment(sp.radius_graph(at, 50), at).withColumn("z", F.round("z", 6))
