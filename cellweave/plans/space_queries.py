@@ -224,7 +224,23 @@ def n5(spark, sf):
     return out.select("feature_name", r6(c("moran"), "moran"), r6(c("geary"), "geary"))
 
 
-@register("n5_moran_test")
+@register(
+    "n5_moran_test",
+    f"""WITH {_DENSE}, out_w AS (SELECT src AS k, sum(w) AS r FROM w GROUP BY ALL), in_w AS (SELECT dst AS k, sum(w) AS q FROM w GROUP BY ALL),
+    w2 AS (SELECT sum((coalesce(r, 0) + coalesce(q, 0)) ** 2) AS w2 FROM out_w FULL JOIN in_w USING (k)),
+    w1 AS (SELECT sum(a.w * a.w + a.w * coalesce(b.w, 0)) AS w1 FROM w a LEFT JOIN w b ON a.src = b.dst AND a.dst = b.src),
+    i AS (SELECT feature_name, n / w0 * num / z2 AS moran, -1 / (n - 1) AS e, n::DOUBLE AS n, w0, w1, w2
+      FROM p JOIN m USING (feature_name), w0, w1, w2),
+    y AS (SELECT feature_name, moran, (moran - e) / sqrt((n * n * w1 - n * w2 + 3 * w0 * w0) / ((n * n - 1) * w0 * w0) - e * e) AS z FROM i),
+    u AS (SELECT *, abs(z) / sqrt(2) AS u, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2)) AS t FROM y),
+    h AS (SELECT *, 0.5 * t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-u * u)
+      AS half FROM u),
+    v AS (SELECT feature_name, moran, z, CASE WHEN z >= 0 THEN half ELSE 1 - half END AS pval FROM h),
+    f AS (SELECT *, pval * count(*) OVER () / row_number() OVER (ORDER BY pval) AS raw FROM v)
+    SELECT feature_name, round(moran, 6) AS moran, round(z, 6) AS z, round(pval, 6) AS pval,
+      round(least(min(raw) OVER (ORDER BY pval DESC ROWS UNBOUNDED PRECEDING), 1), 6) AS fdr,
+      (rank() OVER (ORDER BY moran) + (count(*) OVER (PARTITION BY moran) - 1) / 2)::DOUBLE AS place FROM f""",
+)
 def n5_test(spark, sf):
     at = cells(spark, sf)
     out = nb.rank_by_moran(nb.autocorrelation(sp.radius_graph(at, 50), counts(spark, sf), at.count()))
@@ -279,7 +295,24 @@ def n10(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
-@register("n10_ligand_receptor_test")
+@register(
+    "n10_ligand_receptor_test",
+    f"""WITH {_SIG}, p AS (SELECT * FROM (VALUES ('Brand#11', 'Brand#22'), ('Brand#33', 'Brand#41')) v(ligand, receptor)),
+    perms AS (SELECT unnest(range(1, 21)) AS perm),
+    ranked AS (SELECT sample, cell_id, cell_type, perm, row_number() OVER (PARTITION BY sample, perm ORDER BY cell_id) AS i,
+      row_number() OVER (PARTITION BY sample, perm ORDER BY md5(concat_ws('|', cell_id, perm, '0')), cell_id) AS j FROM f_cells, perms),
+    dealt AS (SELECT x.sample, x.perm, x.cell_id, y.cell_type FROM ranked x JOIN ranked y
+      ON x.sample = y.sample AND x.perm = y.perm AND x.i = y.j),
+    sizes AS (SELECT cell_type, count(*) AS size FROM f_cells GROUP BY ALL),
+    means AS (SELECT d.perm, d.cell_type, f.feature_name, sum(f.n) / any_value(size) AS mean FROM f_counts f
+      JOIN dealt d ON f.sample = d.sample AND f.cell_id = d.cell_id JOIN sizes ON sizes.cell_type = d.cell_type GROUP BY ALL),
+    seen AS (SELECT ligand, receptor, a.cell_type AS a, b.cell_type AS b, CASE WHEN a.mean > 0 AND b.mean > 0
+      THEN (a.mean + b.mean) / 2 ELSE 0 END AS score FROM p JOIN s a ON a.feature_name = ligand JOIN s b ON b.feature_name = receptor),
+    drawn AS (SELECT ligand, receptor, a.cell_type AS a, b.cell_type AS b, (a.mean + b.mean) / 2 AS drawn
+      FROM p JOIN means a ON a.feature_name = ligand JOIN means b ON b.feature_name = receptor AND a.perm = b.perm)
+    SELECT ligand, receptor, a, b, round(any_value(score), 6) AS score, round(coalesce(sum((drawn >= score)::INT), 0) / 20, 6) AS pval
+    FROM seen LEFT JOIN drawn USING (ligand, receptor, a, b) GROUP BY ligand, receptor, a, b""",
+)
 def n10_test(spark, sf):
     out = nb.ligand_receptor_test(counts(spark, sf), cells(spark, sf), _pairs(spark))
     return out.withColumns({"score": F.round("score", 6), "pval": F.round("pval", 6)})
