@@ -173,9 +173,13 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; doc_id must identify a row's text."""
-    kept = score_documents(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The rows of ``docs`` that are kept, with all their columns. A row is judged by its text, lang and source, so ids may
+    repeat or be null; rows are known by 96 bits of hashes of these."""
+    judged = ("text", "lang", "source")
+    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*judged).alias("a"), F.hash(*judged).alias("b")))
+    scored = score_documents(keyed.select(F.col("__key").alias("doc_id"), *judged))
+    kept = scored.filter("kept").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -531,6 +531,11 @@ def test_rules_on_odd_texts(spark):
     assert quality_rules.score_documents(docs_of(spark, [])).count() == 0
     nulls = docs_of(spark, [" ".join(WORDS[:80])]).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     assert quality_rules.filter_documents(nulls).count() == 1
+    good, bad = " ".join(WORDS[:80]), "same words again " * 60
+    rows = [(None, good), (None, bad), (4, good), (4, good), (4, bad), (5, None)]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "kept": F.lit(1)})
+    left = quality_rules.filter_documents(mixed)
+    assert left.columns == mixed.columns and sorted(str(r.doc_id) for r in left.collect()) == ["4", "4", "None"]
 
 
 # ---- 9 ----
