@@ -119,3 +119,48 @@ def composition_against_expected(df: DataFrame, region: str, label: str) -> Data
     b = F.sum("n").over(Window.partitionBy(label))
     t = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row per pair
     return n.withColumn("expected", a * b / t)
+
+
+def region_cohesion(values: DataFrame, regions: DataFrame, value: str = "n") -> DataFrame:
+    """(region, cells, r): mean over a region's cells of the correlation, over all genes, of a cell's values with the region's mean.
+
+    ``values`` are stored entries (sample, cell_id, feature_name); zeros come in by their number, so nothing is made dense. Cells whose
+    values do not vary are left out.
+    """
+    genes = values.agg(F.countDistinct("feature_name").alias("k"))
+    at = regions.select("sample", "cell_id", "region")
+    size = at.groupBy("region").agg(F.count("*").alias("size"))
+    v = values.select("sample", "cell_id", "feature_name", c(value).cast("double").alias("x")).join(at, ["sample", "cell_id"])
+    mean = v.groupBy("region", "feature_name").agg(F.sum("x").alias("s")).join(F.broadcast(size), "region")  # a row per region
+    mean = mean.select("region", "feature_name", (c("s") / c("size")).alias("m"))
+    whole = mean.groupBy("region").agg(F.sum("m").alias("sm"), F.sum(c("m") * c("m")).alias("smm"))
+    cell = v.join(mean, ["region", "feature_name"]).groupBy("region", "sample", "cell_id").agg(
+        F.sum("x").alias("sx"), F.sum(c("x") * c("x")).alias("sxx"), F.sum(c("x") * c("m")).alias("sxm")
+    )
+    met = cell.join(F.broadcast(whole), "region").join(F.broadcast(genes))
+    top = c("k") * c("sxm") - c("sx") * c("sm")
+    spread = (c("k") * c("sxx") - c("sx") * c("sx")) * (c("k") * c("smm") - c("sm") * c("sm"))
+    r = F.when(spread > 1e-9, top / F.sqrt(spread))
+    return met.groupBy("region").agg(F.count(r).alias("cells"), F.avg(r).alias("r"))
+
+
+def welch_between_regions(values: DataFrame, regions: DataFrame, value: str = "n") -> DataFrame:
+    """(feature_name, a, b, t, df): Welch's test of every gene between all pairs of regions a < b, zeros included."""
+    at = regions.select("sample", "cell_id", "region")
+    size = at.groupBy("region").agg(F.count("*").cast("double").alias("k")).filter("k > 1")
+    x = c(value).cast("double")
+    s = values.join(at, ["sample", "cell_id"]).groupBy("region", "feature_name").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    every = s.select("feature_name").distinct().join(F.broadcast(size), how="cross")  # panel x regions
+    m = every.join(s, ["region", "feature_name"], "left").na.fill(0.0, ["s", "q"])
+    m = m.select("feature_name", "region", (c("s") / c("k")).alias("m"), "k", ((c("q") - c("s") * c("s") / c("k")) / (c("k") - 1) / c("k")).alias("v"))
+    a, b = (m.select("feature_name", *[c(x).alias(x + i) for x in ("region", "m", "k", "v")]) for i in "ab")
+    met = a.join(b, "feature_name").filter("regiona < regionb").withColumn("w", c("va") + c("vb"))
+    df = c("w") * c("w") / (c("va") * c("va") / (c("ka") - 1) + c("vb") * c("vb") / (c("kb") - 1))
+    fine = c("w") > 0
+    return met.select(
+        "feature_name",
+        c("regiona").alias("a"),
+        c("regionb").alias("b"),
+        F.when(fine, (c("ma") - c("mb")) / F.sqrt("w")).alias("t"),
+        F.when(fine, df).alias("df"),
+    )

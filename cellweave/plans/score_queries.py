@@ -60,15 +60,16 @@ def v3(spark, sf):
     return _r(mt.pairwise_ari(d, ["first", "second"]), "ari")
 
 
-@register("v4_silhouette")
+@register(
+    "v4_silhouette",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS f FROM embeddings),
+    d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.f, b.f)) AS d, count(*) AS n FROM e a, e b GROUP BY ALL),
+    s AS (SELECT vec_id, max(d / (n - 1)) FILTER (own = other AND n > 1) AS a, min(d / n) FILTER (own <> other) AS b FROM d GROUP BY ALL)
+    SELECT (SELECT count(DISTINCT label) FROM e) AS clusters, round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0
+      ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""",
+)
 def v4(spark, sf):
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
-
-    e = cluster.kmeans(table(spark, sf, "embeddings"), "embedding", 10)
-    v = e.withColumn("v", array_to_vector(c("embedding").cast("array<double>")))
-    score = ClusteringEvaluator(featuresCol="v", predictionCol="cluster").evaluate(v)
-    return e.agg(F.countDistinct("cluster").alias("clusters")).withColumn("silhouette", F.lit(round(score, 6)))
+    return _r(cluster.silhouette(table(spark, sf, "embeddings"), ["vec_id"], "embedding", "label"), "silhouette")
 
 
 def _side(spark, sf, dataset: str):
@@ -470,6 +471,43 @@ def k10(spark, sf):
     return _r(pf.composition_against_expected(inside.join(at, "cell_id"), "region", "cell_type"), "expected")
 
 
+def _regions(spark, sf):
+    at = cells(spark, sf)
+    inside = sp.point_in_polygon(at, polygons(spark, sf), ["cell_id"], "x_centroid", "y_centroid")
+    return inside.join(at.select("sample", "cell_id"), "cell_id")
+
+
+@register(
+    "k10_region_cohesion",
+    f"""WITH {_PIP}, k AS (SELECT region, cell_id, sample FROM region JOIN f_cells USING (cell_id)),
+    g AS (SELECT DISTINCT feature_name FROM f_counts),
+    d AS (SELECT region, sample, cell_id, feature_name, coalesce(n, 0)::DOUBLE AS n FROM k CROSS JOIN g LEFT JOIN f_counts USING (sample,
+      cell_id, feature_name)),
+    m AS (SELECT *, avg(n) OVER (PARTITION BY region, feature_name) AS m FROM d),
+    r AS (SELECT region, CASE WHEN stddev_pop(n) > 1e-6 AND stddev_pop(m) > 1e-6 THEN corr(n, m) END AS r FROM m
+      GROUP BY region, sample, cell_id)
+    SELECT region, count(r) AS cells, round(avg(r), 6) AS r FROM r GROUP BY ALL""",
+)
+def k10_cohesion(spark, sf):
+    return _r(pf.region_cohesion(counts(spark, sf), _regions(spark, sf)), "r")
+
+
+@register(
+    "k10_region_welch",
+    f"""WITH {_PIP}, k AS (SELECT region, cell_id, sample FROM region JOIN f_cells USING (cell_id)),
+    g AS (SELECT DISTINCT feature_name FROM f_counts SEMI JOIN k USING (sample, cell_id)),
+    d AS (SELECT region, feature_name, coalesce(n, 0)::DOUBLE AS n FROM k CROSS JOIN g LEFT JOIN f_counts USING (sample, cell_id,
+      feature_name)),
+    m AS (SELECT region, feature_name, avg(n) AS m, count(*) AS k, var_samp(n) / count(*) AS v FROM d GROUP BY ALL HAVING count(*) > 1)
+    SELECT a.feature_name, a.region AS a, b.region AS b, CASE WHEN a.v + b.v > 0 THEN round((a.m - b.m) / sqrt(a.v + b.v), 6) END AS t,
+      CASE WHEN a.v + b.v > 0 THEN round((a.v + b.v) ** 2 / (a.v ** 2 / (a.k - 1) + b.v ** 2 / (b.k - 1)), 4) END AS df
+    FROM m a JOIN m b ON a.feature_name = b.feature_name AND a.region < b.region""",
+)
+def k10_welch(spark, sf):
+    out = pf.welch_between_regions(counts(spark, sf), _regions(spark, sf))
+    return _r(out, "t").withColumn("df", F.round("df", 4))
+
+
 @register(
     "k11_domain_purity",
     "WITH n AS (SELECT sample, cell_type, count(*) AS n FROM f_cells GROUP BY ALL) SELECT sample, round(max(n) / sum(n), 6) AS purity, "

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 SOME = (
     "flagship a4_a5_a6_per_cell_summary a17_expansion_curve a19_majority_vote a26_coexpression p5_cell_cap j2_map_lookup "
     "j5_point_in_polygon j8_radius_join j9_knn j16_border_distance w1_average_rank w9_false_discovery x6_variable_genes "
-    "x10_rank_genes_wilcoxon n5_n6_autocorrelation g4_kernel_density v1_v2_agreement k9_region_fallback f1_f14_scalars"
+    "x10_rank_genes_wilcoxon n5_n6_autocorrelation g4_kernel_density v1_v2_agreement k9_region_fallback f1_f14_scalars v4_silhouette "
+    "k10_region_cohesion k10_region_welch e2_segmentation_free"
 ).split()
 
 
@@ -41,5 +42,7 @@ def test_sweep_has_every_run(spark):
     from cellweave.plans.pipeline import SWEEP
 
     rows = catalog.queries()["v19_v20_e6_sweep"](spark, SF).collect()
-    assert len({r.run for r in rows}) == len(rows) == 1 + sum(len(v) - 1 for v in SWEEP.values()) == 12
+    assert len({r.run for r in rows}) == 1 + sum(len(v) - 1 for v in SWEEP.values()) == 16
+    assert len({(r.run, r.kind) for r in rows}) == len(rows) == 32
     assert all(-1 <= r.silhouette <= 1 for r in rows)
+    assert all(r.ari == 1 for r in rows if r.run == "default")
