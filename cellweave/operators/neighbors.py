@@ -9,6 +9,7 @@ from cellweave.functions.ranking import average_rank, false_discovery
 from cellweave.functions.scalar import ratio
 from cellweave.operators.reads import seeded_order
 from cellweave.operators.spatial import radius_pairs
+from cellweave.session import materialise
 
 c = F.col
 
@@ -94,10 +95,10 @@ def autocorrelation(edges: DataFrame, values: DataFrame, n_cells: int, value: st
     Only stored entries are joined: with row sums R, column sums C and total W of the weights, and m the mean,
     sum w (x_i - m)(x_j - m) = S1 - m (sum x R + sum x C) + m^2 W, where S1 runs over pairs of stored entries.
     """
-    w = _weighted(edges)
+    w = materialise(_weighted(edges), "edges")
     r = w.groupBy("sample", c("src").alias("cell_id")).agg(F.sum("w").alias("r"))
     col = w.groupBy("sample", c("dst").alias("cell_id")).agg(F.sum("w").alias("q"))
-    v = values.select("sample", "cell_id", "feature_name", c(value).cast("double").alias("x"))
+    v = materialise(values.select("sample", "cell_id", "feature_name", c(value).cast("double").alias("x")), "values")
     node = v.join(r, ["sample", "cell_id"], "left").join(col, ["sample", "cell_id"], "left").na.fill(0.0, ["r", "q"])
     one = node.groupBy("feature_name").agg(
         F.sum("x").alias("sx"),
