@@ -163,3 +163,49 @@ def test_samples_and_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.table("streamed").collect()] == [("5", "g", 1)]
     files.export_matrix(rd.read_counts(both), ["g", "h"], str(tmp_path / "wide"))
     assert spark.read.csv(str(tmp_path / "wide"), header=True).columns == ["cell_id", "g", "h"]
+
+
+def test_silhouettes_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, i, rng.normal(size=3).tolist(), int(rng.integers(3))) for g in ("a", "b") for i in range(40)]
+    rows += [("one", i, [float(i)], 7) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, id long, f array<double>, l int")
+    got = {r.g: (r.clusters, r.silhouette) for r in cluster.silhouettes(df, ["g", "id"], "f", "l", "g").collect()}
+    for g in "ab":
+        x = np.array([r[2] for r in rows if r[0] == g])
+        l = np.array([r[3] for r in rows if r[0] == g])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        score = []
+        for i in range(len(x)):
+            own = (l == l[i]) & (np.arange(len(x)) != i)
+            a, b = d[i, own].mean(), min(d[i, l == k].mean() for k in set(l) - {l[i]})
+            score.append((b - a) / max(a, b))
+        assert got[g][0] == 3 and abs(got[g][1] - np.mean(score)) < 1e-6
+    assert got["one"] == (1, -1.0)
+    few = cluster.silhouettes(df, ["g", "id"], "f", "l", "g", most=10).filter("g = 'a'").first()
+    assert few.clusters == 3 and -1 <= few.silhouette <= 1
+
+
+def test_levels_of_two_graphs_and_targets(spark):
+    """Graph 0 is two cliques of 4 joined by a weak edge, graph 1 three pairs without edges between them."""
+    clique = [(i + o, j + o) for o in (0, 10) for i in range(4) for j in range(i + 1, 4)]
+    e = [(0, a, b, 1.0) for a, b in clique] + [(0, 3, 10, 0.1)] + [(1, a, a + 1, 1.0) for a in (100, 102, 104)]
+    edges = spark.createDataFrame(e, "graph long, src long, dst long, weight double")
+    ids = [(0, i + o) for o in (0, 10) for i in range(4)] + [(1, i) for i in range(100, 106)]
+    levels = cluster.levels_of(edges, spark.createDataFrame(ids, "graph long, id long"), "id")
+    best = cluster.pick_level(levels, "id", "graph", edges=edges).collect()
+    assert {r.graph: r.communities for r in best} == {0: 2, 1: 3}
+    assert len({r.label for r in best if r.graph == 0 and r.id < 10}) == 1
+    wanted = spark.createDataFrame([(0, 2), (1, 1)], "graph long, target int")
+    assert {r.graph: r.communities for r in cluster.pick_level(levels, "id", "graph", targets=wanted).collect()} == {0: 2, 1: 3}
+
+
+def test_neighbours_of_groups_do_not_meet(spark):
+    rows = [(g, i, [float(i), float(g)]) for g in (0, 1) for i in range(12)]
+    df = spark.createDataFrame(rows, "g long, id long, features array<double>")
+    near = transfer.feature_neighbours(df, df, 2, "euclidean", block=5, sizes=(12, 12), by="g")
+    one = transfer.feature_neighbours(df.filter("g = 1"), df.filter("g = 1"), 2, "euclidean", block=5)
+    key = lambda r: (r.src, r.dst, r.place)
+    got = near.collect()
+    assert len(got) == 48
+    assert sorted(key(r) for r in got if r.g == 1) == sorted(key(r) for r in got if r.g == 0) == sorted(map(key, one.collect()))
