@@ -8,6 +8,7 @@ from cellweave.llm.html_extract import op1_html_extraction
 from cellweave.llm.language_id import op7_language_id
 from cellweave.llm.ngram_join import op5_ngram_join
 from cellweave.llm.packing import op4_packing
+from cellweave.llm.periodic_runs import op13_periodic_runs
 from cellweave.llm.quality_model import op2_quality_classifier
 from cellweave.llm.quality_rules import OP8_SQL, op8_quality_rules
 from cellweave.llm.sharding import op10_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE_SQL = {
