@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cellweave.llm.bestfit_packing import op12_bestfit_packing
 from cellweave.llm.chat_format import OP3_SQL, op3_chat_format
 from cellweave.llm.decontaminate import OP9_SQL, op9_decontamination
 from cellweave.llm.html_extract import op1_html_extraction
@@ -13,6 +14,7 @@ from cellweave.llm.quality_model import op2_quality_classifier
 from cellweave.llm.quality_rules import OP8_SQL, op8_quality_rules
 from cellweave.llm.sharding import op10_sharding
 from cellweave.llm.suffix_dedup import op6_suffix_dedup
+from cellweave.llm.token_alignment import op11_token_alignment
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_bestfit_packing": op12_bestfit_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
