@@ -12,9 +12,9 @@ number of documents that hold it linked.
 * *Identity map.* For each A id there is at most one B id that is taken as the same bytes. Pairs of this map, which is what
   nearly all one-to-one groups are, are counted in a vector as long as A's vocabulary, one a task.
 * *Pair shuffle.* Only other pairs become rows, summed in the task before the shuffle. Their counts are written once.
-* The best count of each A id is a vector of A's vocabulary. The sums of a document need the counts of its pairs: a second pass
-  over the texts looks them up in a broadcast table if the pairs are at most ``most_pairs``, which is checked; else the pairs of
-  each document are joined with the counts. Both ways give the same rows.
+* Texts are tokenised once: the pairs of a document's links are written in a table (4 bytes a link), from which counts and sums are
+  taken. The best count of each A id is a vector of A's vocabulary. The counts of pairs are broadcast if they are at most
+  ``most_pairs``, which is checked; else the documents' pairs are joined with them. Both ways give the same rows.
 
 Defined cases: texts that are null, empty, or that a tokenizer does not give back byte for byte have no tokens (zeros and an
 empty digest) and count nowhere; repeated rows and ids count each for itself; an empty table gives no row; other columns are
@@ -40,13 +40,17 @@ from cellweave.llm.common import documents, materialise
 #: Pairs (of 12 bytes) that are broadcast at most: 48 MB.
 MOST_PAIRS = 4 << 20
 #: Characters of the segments that a worker keeps, and of a text that are cut into segments at once.
-CACHE_CHARS, PART_CHARS = 24 << 20, 1 << 20
-#: Pairs that a task holds before it hands their counts on.
-HELD_PAIRS = 1 << 20
+CACHE_CHARS, PART_CHARS = 40 << 20, 1 << 20
+#: Characters that a kept segment counts beside its own, for its numbers.
+ENTRY_CHARS = 100
+#: Pairs that a task holds before it hands their counts on, and bytes of links that it hands back at once.
+HELD_PAIRS, OUT_BYTES = 1 << 20, 4 << 20
 
 #: A space between another character and the start of a word.
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 
+TEXTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
+_TEXT_TYPES = [pa.int64()] * 5 + [pa.string(), pa.binary()]
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
@@ -92,10 +96,19 @@ class Tokenizers:
         same = {self.bytes_b[i]: i for i in sorted(range(len(pieces)), key=lambda i: not self.b.is_byte(i))}
         self.identity = np.array([same.get(x, -1) for x in self.bytes_a], np.int64)
 
-    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both for segments that have a space before them."""
-        found = self.a.encode_batch_fast([" " + x for x in segments], add_special_tokens=False)
-        return [e.ids for e in found], self.b.encode(segments, num_threads=1)
+        #: What is written for an id: A's before ``,`` and ``|``, then B's before ``,``, ``;`` and the end of a segment.
+        ids = [[str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b)]
+        parts = [[i + "," for i in ids[0]], [i + "|" for i in ids[0]], *([i + mark for i in ids[1]] for mark in (",", ";", "\n"))]
+        self.written = np.array(sum(parts, []), object)
+        self.written_from = np.cumsum([0, *map(len, parts)])[:-1]
+
+    def encode(self, segments: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of both tokenizers for segments that follow each other, each with a space before it."""
+        text = " ".join(segments)
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+
+    def come_back(self, raw: bytes, ids_a: list[int], ids_b: list[int]) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, ids_a)) == raw == b"".join(map(self.bytes_b.__getitem__, ids_b))
 
 
 @lru_cache(1)
@@ -104,45 +117,31 @@ def tokenizers(paths: tuple[str, str]) -> Tokenizers:
 
 
 class Aligned:
-    """Groups and links of some segments, given the ids of both tokenizers: all arrays have one row per segment or link."""
-
-    def __init__(self, known: Tokenizers, segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]]):
-        self.whole = np.array(
-            [
-                b"".join(map(known.bytes_a.__getitem__, a)) == (raw := b" " + s.encode("utf-8", "replace"))
-                and b"".join(map(known.bytes_b.__getitem__, b)) == raw
-                for s, a, b in zip(segments, ids_a, ids_b)
-            ],
-            bool,
-        )
-        ids_a = [a if ok else [] for a, ok in zip(ids_a, self.whole)]
-        ids_b = [b if ok else [] for b, ok in zip(ids_b, self.whole)]
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
+    """Groups and links of segments that follow each other, ``sizes`` bytes long, given the ids of both tokenizers."""
+
+    def __init__(self, known: Tokenizers, sizes: np.ndarray, ids_a: list[int], ids_b: list[int]):
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         end_a, end_b = np.cumsum(known.size_a[a]), np.cumsum(known.size_b[b])
-        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-        owner_a = np.repeat(np.arange(len(segments)), self.n_a)
-        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        cuts, bounds = np.intersect1d(end_a, end_b, assume_unique=True), np.cumsum(sizes)
+        until = [np.searchsorted(x, bounds, side="right") for x in (end_a, end_b, cuts)]
+        #: Whether all segments end where tokens of both do; else they can't be parted.
+        self.parted = not len(bounds) or bool((cuts[np.maximum(until[2] - 1, 0)] == bounds).all())
+        if not self.parted:
+            return
+        self.n_a, self.n_b, self.n_groups = (np.diff(x, prepend=0) for x in until)
         first = np.searchsorted(end_b, end_a - known.size_a[a], side="right")
-        last = np.searchsorted(end_b - known.size_b[b], end_a)
-        links = last - first
+        links = np.searchsorted(end_b - known.size_b[b], end_a) - first
         self.link_a = np.repeat(a, links)
         self.link_b = b[np.repeat(first - (np.cumsum(links) - links), links) + np.arange(links.sum())]
-        self.n_links = np.bincount(np.repeat(owner_a, links), minlength=len(segments))
-        new = np.ones(len(a), bool)
-        new[1:] = group_a[1:] != group_a[:-1]
-        self.n_groups = np.bincount(owner_a[new], minlength=len(segments))
-        self.groups = self._written(a, b, group_a, group_b, len(cuts))
-
-    def _written(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: int) -> list[str]:
-        """The groups of each segment as a1,a2|b1;a3|b2."""
-        left, right = [""] * n, [""] * n
-        for out, ids, group in ((left, a, group_a), (right, b, group_b)):
-            for g, i in zip(group.tolist(), ids.tolist()):
-                out[g] = f"{out[g]},{i}" if out[g] else str(i)
-        both = [f"{x}|{y}" for x, y in zip(left, right)]
-        bounds = np.concatenate([[0], np.cumsum(self.n_groups)]).tolist()
-        return [";".join(both[i:j]) for i, j in zip(bounds, bounds[1:])]
+        self.n_links = np.diff(np.cumsum(links)[until[0] - 1], prepend=0)
+        # A group's A ids come first; the last of a side, a group or a segment is written with another mark.
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        kind_a = np.append(group_a[1:] != group_a[:-1], True).astype(np.int64)
+        kind_b = 2 + np.append(group_b[1:] != group_b[:-1], True)
+        kind_b[until[1] - 1] = 4
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        at = np.concatenate([known.written_from[kind_a] + a, known.written_from[kind_b] + b])[order]
+        self.groups = "".join(known.written[at].tolist()).split("\n")[:-1]
 
 
 class Grown:
@@ -173,7 +172,7 @@ class SegmentTable:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict = {}
         self.chars = 0
         self.groups: list[str] = []
         #: n_a, n_b, n_groups, n_links and whether the segment came back whole.
@@ -181,13 +180,28 @@ class SegmentTable:
         #: The pairs of the links, and where those of each segment end.
         self.pairs, self.ends = Grown(), Grown()
 
-    def _append(self, segments: list[str]) -> None:
+    def _learn(self, segments: list[str], names: list) -> None:
+        """Enter segments that follow each other in any order, each with a space before it; those that don't come back, too."""
+        raw = [b" " + x.encode("utf-8", "replace") for x in segments]
         ids_a, ids_b = self.known.encode(segments)
-        got = Aligned(self.known, segments, ids_a, ids_b)
-        self.groups += got.groups
-        self.stats.append(np.stack([got.n_a, got.n_b, got.n_groups, got.n_links, got.whole], 1))
-        self.ends.append(self.pairs.size + np.cumsum(got.n_links))
-        self.pairs.append(got.link_a * len(self.known.bytes_b) + got.link_b)
+        whole = self.known.come_back(b"".join(raw), ids_a, ids_b)
+        got = Aligned(self.known, np.array([len(x) for x in raw], np.int64), ids_a, ids_b) if whole else None
+        if got is None or not got.parted:
+            if len(segments) > 1:
+                for x, name in zip(segments, names):
+                    self._learn([x], [name])
+                return
+            self.groups.append("")
+            self.stats.append(np.zeros((1, 5), np.int64))
+            self.ends.append(np.array([self.pairs.size]))
+        else:
+            self.groups += got.groups
+            self.stats.append(np.stack([got.n_a, got.n_b, got.n_groups, got.n_links, np.ones_like(got.n_a)], 1))
+            self.ends.append(self.pairs.size + np.cumsum(got.n_links))
+            self.pairs.append(got.link_a * len(self.known.bytes_b) + got.link_b)
+        for name in names:
+            self.number[name] = len(self.number)
+        self.chars += sum(map(len, raw)) + ENTRY_CHARS * len(names)
 
     def look_up(self, text: str) -> np.ndarray:
         """Numbers of the segments of a text that is not empty."""
@@ -196,23 +210,25 @@ class SegmentTable:
             cut = _CUT.search(text, at + PART_CHARS) if len(text) - at > PART_CHARS else None
             pieces = _CUT.split(text[at : cut.start() if cut else len(text)])
             at = cut.end() if cut else len(text)
-            new = [x for x in dict.fromkeys(pieces) if x not in self.number]
-            if new:
-                self._append(new)
+            numbers = list(map(self.number.get, pieces))
+            if None in numbers:
+                new = dict.fromkeys(x for x, n in zip(pieces, numbers) if n is None)
+                inner = [x for x in new if not (x[0].isspace() or x[-1].isspace())]
+                if inner:
+                    self._learn(inner, inner)
                 for x in new:
-                    self.number[x] = len(self.number)
-                self.chars += sum(map(len, new)) + 100 * len(new)
-            found.append(np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces)))
+                    if x not in self.number:  # white space at an end must not meet other segments
+                        self._learn([x], [x])
+                numbers = list(map(self.number.__getitem__, pieces))
+            found.append(np.array(numbers, np.int64))
         numbers = np.concatenate(found)
         return numbers if self.stats.rows[numbers, 4].all() else self._whole(text)
 
     def _whole(self, text: str) -> np.ndarray:
         """One segment for all of a text, kept under a name that no segment has."""
-        name = f" {text}"
+        name = (text,)
         if name not in self.number:
-            self._append([text])
-            self.number[name] = len(self.number)
-            self.chars += len(text)
+            self._learn([text], [name])
         return np.array([self.number[name]])
 
     def links(self, numbers: np.ndarray) -> np.ndarray:
@@ -228,43 +244,79 @@ def _table(paths: tuple[str, str]) -> SegmentTable:
     return SegmentTable(paths)
 
 
-def pair_counts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(a, b, docs): how many rows of ``docs`` hold each linked id pair."""
+def _number(pairs: int) -> str:
+    """The type of the numbers of so many pairs."""
+    return "<u4" if pairs <= 1 << 32 else "<u8"
+
+
+def aligned_texts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """Each row's counts and digest, with the pair numbers of its links, sorted, as little-endian integers: see TEXTS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(paths)
-        identity, width = table.known.identity, len(table.known.bytes_b)
+        kind = _number(len(table.known.bytes_a) * len(table.known.bytes_b))
+        out: list[tuple] = []
+        held = 0
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, t in zip(zip(*out), _TEXT_TYPES)]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TEXTS.split(", ")])
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                if text:
+                    if table.chars > CACHE_CHARS:
+                        table.reset()
+                    numbers = table.look_up(text)
+                    links = np.sort(table.links(numbers)).astype(kind).tobytes()
+                    out.append((doc_id.as_py(), *_described(table, numbers), links))
+                    held += len(links)
+                else:
+                    out.append((doc_id.as_py(), 0, 0, 0, 0, "", b""))
+                if held > OUT_BYTES or len(out) >= 4096:
+                    yield rows()
+                    out, held = [], 0
+        if out:
+            yield rows()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TEXTS)
+
+
+def pair_counts(texts: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(a, b, docs): how many rows of :func:`aligned_texts` hold each linked id pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tokenizers(paths)
+        identity, width = known.identity, len(known.bytes_b)
+        kind = _number(len(known.bytes_a) * width)
         vector = np.zeros(len(identity), np.int64)
         held: list[np.ndarray] = []
         n = 0
 
         def rows(pairs: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-            a, b = np.divmod(pairs, width)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, count)], ["a", "b", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (*np.divmod(pairs, width), count)], ["a", "b", "docs"])
 
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                if not text:
+            for raw in batch.column(0):
+                links = np.frombuffer(raw.as_py(), kind).astype(np.int64)
+                if not len(links):
                     continue
-                if table.chars > CACHE_CHARS:
-                    table.reset()
-                pairs = np.unique(table.links(np.unique(table.look_up(text))))
+                pairs = links[np.append(True, links[1:] != links[:-1])]
                 a, b = np.divmod(pairs, width)
                 same = identity[a] == b
                 vector[a[same]] += 1
                 held.append(pairs[~same])
                 n += len(held[-1])
                 if n > HELD_PAIRS:
-                    merged = np.unique(np.concatenate(held), return_counts=True)
-                    yield rows(*merged)
+                    yield rows(*np.unique(np.concatenate(held), return_counts=True))
                     held, n = [], 0
-        if held:
+        if n:
             yield rows(*np.unique(np.concatenate(held), return_counts=True))
         met = np.flatnonzero(vector)
         yield rows(met * width + identity[met], vector[met])
 
-    found = docs.select("text").mapInArrow(run, "a long, b long, docs long")
+    found = texts.select("links").mapInArrow(run, "a long, b long, docs long")
     return found.groupBy("a", "b").agg(F.sum("docs").alias("docs"))
 
 
@@ -283,116 +335,69 @@ def _described(table: SegmentTable, numbers: np.ndarray) -> tuple:
         return 0, 0, 0, 0, ""
     digest = hashlib.sha256()
     for i in range(0, len(numbers), 1 << 16):
-        part = ";".join(table.groups[k] for k in numbers[i : i + (1 << 16)].tolist())
+        part = ";".join(map(table.groups.__getitem__, numbers[i : i + (1 << 16)].tolist()))
         digest.update((";" * (i > 0) + part).encode())
     return n_a, n_b, n_groups, n_links, digest.hexdigest()
 
 
-_NOTHING = (0, 0, 0, 0, "")
-
-
-def _looked_up(docs: DataFrame, paths: tuple[str, str], counts: Broadcast, best: Broadcast) -> DataFrame:
-    """All columns in one pass: segments' sums of counts are kept beside the table of segments."""
+def _looked_up(texts: DataFrame, kind: str, width: int, counts: Broadcast, best: Broadcast) -> DataFrame:
+    """n_best and count_sum of each row by binary search in the sorted pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(paths)
         pairs, often = counts.value
-        width = len(table.known.bytes_b)
-        sums = Grown(2)  # n_best and count_sum of each segment; of those that only other tables hold they mean nothing
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                doc_id, text = doc_id.as_py(), text.as_py()
-                if not text:
-                    out.append((doc_id, *_NOTHING, 0, 0))
-                    continue
-                if table.chars > CACHE_CHARS:
-                    table.reset()
-                    sums = Grown(2)
-                numbers = table.look_up(text)
-                if sums.size < table.stats.size:
-                    ends = table.ends.rows[sums.size :]
-                    begin = int(table.ends.rows[sums.size - 1]) if sums.size else 0
-                    new = table.pairs.rows[begin:]
-                    n = often[np.minimum(np.searchsorted(pairs, new), len(pairs) - 1)] if len(pairs) else new
-                    is_best = n == best.value[new // width]
-                    total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(np.stack([is_best, n], 1), 0)])
-                    sums.append(np.diff(total[np.append(0, ends - begin)], axis=0))
-                out.append((doc_id, *_described(table, numbers), *sums.rows[numbers].sum(0).tolist()))
-            columns = [pa.array(c) if k in (0, 5) else pa.array(c, pa.int64()) for k, c in enumerate(zip(*out))]
-            if columns:
-                columns[0] = columns[0].cast(pa.int64())
-                doc, n_a, n_b, n_groups, n_links, digest, n_best, count_sum = columns
-                yield pa.RecordBatch.from_arrays(
-                    [doc, n_a, n_b, n_groups, n_links, n_best, count_sum, digest], [x.split()[0] for x in ALIGNED.split(", ")]
-                )
-
-    return docs.mapInArrow(run, ALIGNED)
-
-
-def _joined(docs: DataFrame, paths: tuple[str, str], counts: DataFrame) -> DataFrame:
-    """The same by a join of each document's pairs with the counts, however many there are."""
-
-    names = "row doc_id n_a n_b n_groups n_links groups_sha256 a b times".split()
-    schema = ", ".join(f"{k} {'string' if k == 'groups_sha256' else 'long'}" for k in names)
+            raw = batch.column("links")
+            n_best, count_sum = [], []
+            for x in raw:
+                links = np.frombuffer(x.as_py(), kind).astype(np.int64)
+                n = often[np.searchsorted(pairs, links)]
+                n_best.append(int((n == best.value[links // width]).sum()))
+                count_sum.append(int(n.sum()))
+            known = [batch.column(k) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
+            sums = [pa.array(x, pa.int64()) for x in (n_best, count_sum)]
+            names = [x.split()[0] for x in ALIGNED.split(", ")]
+            yield pa.RecordBatch.from_arrays([*known, *sums, batch.column("groups_sha256")], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(paths)
-        width = len(table.known.bytes_b)
-        held: list[list[pa.Array]] = []
-        n = 0
+    return texts.mapInArrow(run, ALIGNED)
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names)
 
-        for batch in batches:
-            for row, doc_id, text in zip(*batch.columns):
-                if table.chars > CACHE_CHARS:
-                    table.reset()
-                text = text.as_py()
-                numbers = table.look_up(text) if text else np.zeros(0, np.int64)
-                said = _described(table, numbers) if text else _NOTHING
-                pairs, times = np.unique(table.links(numbers), return_counts=True)
-                a, b = np.divmod(pairs, width)
-                links = len(pairs)  # after a first row without a pair, which describes the text
-                described = [pa.array([x] + [None] * links, pa.string() if x is said[4] else pa.int64()) for x in said]
-                who = [pa.array([x.as_py()] * (links + 1), pa.int64()) for x in (row, doc_id)]
-                held.append([*who, *described, *(pa.array([None, *x.tolist()], pa.int64()) for x in (a, b, times))])
-                n += links + 1
-                if n > HELD_PAIRS // 8:
-                    yield rows()
-                    held, n = [], 0
-        if held:
-            yield rows()
+def _joined(texts: DataFrame, kind: str, width: int, counts: DataFrame) -> DataFrame:
+    """The same by a join of each row's pairs with the counts, however many there are."""
 
-    # Numbers of rows must not change when a lost task runs again, so they are written.
-    rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "alignment-rows")
-    links = rows.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, raw in zip(batch.column(0), batch.column(1)):
+                pairs, times = np.unique(np.frombuffer(raw.as_py(), kind).astype(np.int64), return_counts=True)
+                columns = [np.full(len(pairs), row.as_py()), *np.divmod(pairs, width), times]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["row", "a", "b", "times"])
+
+    # Numbered rows are written, as they meet again.
+    rows = materialise(texts.withColumn("row", F.monotonically_increasing_id()), "alignment-rows")
+    links = rows.select("row", "links").mapInArrow(run, "row long, a long, b long, times long")
     best = counts.groupBy("a").agg(F.max("docs").alias("most"))
     known = counts.join(best, "a").select("a", "b", "docs", (F.col("docs") == F.col("most")).cast("long").alias("is_best"))
-    met = links.join(known, ["a", "b"], "left")
-    summed = met.groupBy("row").agg(
-        *(F.max(k).alias(k) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")),
-        F.coalesce(F.sum(F.col("times") * F.col("is_best")), F.lit(0)).alias("n_best"),
-        F.coalesce(F.sum(F.col("times") * F.col("docs")), F.lit(0)).alias("count_sum"),
+    summed = links.join(known, ["a", "b"]).groupBy("row").agg(
+        F.sum(F.col("times") * F.col("is_best")).alias("n_best"), F.sum(F.col("times") * F.col("docs")).alias("count_sum")
     )
-    return summed.select(*[x.split()[0] for x in ALIGNED.split(", ")])
+    met = rows.drop("links").join(summed, "row", "left").na.fill(0, ["n_best", "count_sum"])
+    return met.select(*[x.split()[0] for x in ALIGNED.split(", ")])
 
 
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, most_pairs: int = MOST_PAIRS) -> tuple[DataFrame, DataFrame]:
     """The alignment of each row of (doc_id, text), see ALIGNED, and the counts (a, b, docs) of all linked id pairs."""
     paths = paths or default_tokenizers()
     known = tokenizers(paths)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = materialise(pair_counts(docs, paths), "alignment-pairs")
-    if counts.count() > most_pairs:
-        return _joined(docs, paths, counts), counts
+    texts = materialise(aligned_texts(docs, paths), "aligned-texts")
+    counts = materialise(pair_counts(texts, paths), "alignment-pairs")
     width, context = len(known.bytes_b), docs.sparkSession.sparkContext
+    kind = _number(len(known.bytes_a) * width)
+    if counts.count() > most_pairs:
+        return _joined(texts, kind, width, counts), counts
     got = counts.select((F.col("a") * width + F.col("b")).alias("pair"), "docs").toArrow()
     pairs, often = got["pair"].to_numpy(), got["docs"].to_numpy()
     order = np.argsort(pairs)
-    best = best_counts(counts, len(known.bytes_a))
-    return _looked_up(docs, paths, context.broadcast((pairs[order], often[order])), context.broadcast(best)), counts
+    best = context.broadcast(best_counts(counts, len(known.bytes_a)))
+    return _looked_up(texts, kind, width, context.broadcast((pairs[order], often[order])), best), counts
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
