@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,18 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def in_small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Bound the rows of the Arrow batches of what runs inside; the session is left as it was."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Spark then removes the shuffle files of a query when it ends, and not when the driver's garbage happens to be collected.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -35,12 +35,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, materialise
+from cellweave.llm.common import documents, in_small_batches, materialise
+from cellweave.llm.textscan import blocks
 
 #: Pairs (of 12 bytes) that are broadcast at most: 48 MB.
 MOST_PAIRS = 4 << 20
 #: Characters of the segments that a worker keeps, and of a text that are cut into segments at once.
-CACHE_CHARS, PART_CHARS = 40 << 20, 1 << 20
+CACHE_CHARS, PART_CHARS = 60 << 20, 1 << 20
+#: Bytes of texts whose new segments are tokenised together.
+BLOCK_BYTES = 256 << 10
 #: Characters that a kept segment counts beside its own, for its numbers.
 ENTRY_CHARS = 100
 #: Pairs that a task holds before it hands their counts on, and bytes of links that it hands back at once.
@@ -188,8 +191,9 @@ class SegmentTable:
         got = Aligned(self.known, np.array([len(x) for x in raw], np.int64), ids_a, ids_b) if whole else None
         if got is None or not got.parted:
             if len(segments) > 1:
-                for x, name in zip(segments, names):
-                    self._learn([x], [name])
+                half = len(segments) // 2
+                self._learn(segments[:half], names[:half])
+                self._learn(segments[half:], names[half:])
                 return
             self.groups.append("")
             self.stats.append(np.zeros((1, 5), np.int64))
@@ -203,26 +207,39 @@ class SegmentTable:
             self.number[name] = len(self.number)
         self.chars += sum(map(len, raw)) + ENTRY_CHARS * len(names)
 
+    def _numbers(self, rows: list[list[str]]) -> list[list[int]]:
+        """Numbers of rows of segments; those that are new are learnt together."""
+        found = [list(map(self.number.get, pieces)) for pieces in rows]
+        open_rows = [k for k, numbers in enumerate(found) if None in numbers]
+        new = dict.fromkeys(x for k in open_rows for x, n in zip(rows[k], found[k]) if n is None)
+        inner = [x for x in new if not (x[0].isspace() or x[-1].isspace())]
+        if inner:
+            self._learn(inner, inner)
+        for x in new:
+            if x not in self.number:  # white space at an end must not meet other segments
+                self._learn([x], [x])
+        for k in open_rows:
+            found[k] = list(map(self.number.__getitem__, rows[k]))
+        return found
+
+    def _checked(self, text: str, numbers: np.ndarray) -> np.ndarray:
+        return numbers if self.stats.rows[numbers, 4].all() else self._whole(text)
+
     def look_up(self, text: str) -> np.ndarray:
-        """Numbers of the segments of a text that is not empty."""
+        """Numbers of the segments of a text that is not empty; long ones are cut part by part."""
         found, at = [], 0
         while at < len(text):
             cut = _CUT.search(text, at + PART_CHARS) if len(text) - at > PART_CHARS else None
-            pieces = _CUT.split(text[at : cut.start() if cut else len(text)])
+            found += self._numbers([_CUT.split(text[at : cut.start() if cut else len(text)])])
             at = cut.end() if cut else len(text)
-            numbers = list(map(self.number.get, pieces))
-            if None in numbers:
-                new = dict.fromkeys(x for x, n in zip(pieces, numbers) if n is None)
-                inner = [x for x in new if not (x[0].isspace() or x[-1].isspace())]
-                if inner:
-                    self._learn(inner, inner)
-                for x in new:
-                    if x not in self.number:  # white space at an end must not meet other segments
-                        self._learn([x], [x])
-                numbers = list(map(self.number.__getitem__, pieces))
-            found.append(np.array(numbers, np.int64))
-        numbers = np.concatenate(found)
-        return numbers if self.stats.rows[numbers, 4].all() else self._whole(text)
+        return self._checked(text, np.concatenate([np.array(x, np.int64) for x in found]))
+
+    def look_up_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The same for some texts at once."""
+        if any(len(x) > PART_CHARS for x in texts):
+            return [self.look_up(x) for x in texts]
+        found = self._numbers([_CUT.split(x) for x in texts])
+        return [self._checked(x, np.array(n, np.int64)) for x, n in zip(texts, found)]
 
     def _whole(self, text: str) -> np.ndarray:
         """One segment for all of a text, kept under a name that no segment has."""
@@ -263,20 +280,24 @@ def aligned_texts(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in TEXTS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py()
-                if text:
-                    if table.chars > CACHE_CHARS:
-                        table.reset()
-                    numbers = table.look_up(text)
-                    links = np.sort(table.links(numbers)).astype(kind).tobytes()
-                    out.append((doc_id.as_py(), *_described(table, numbers), links))
-                    held += len(links)
-                else:
-                    out.append((doc_id.as_py(), 0, 0, 0, 0, "", b""))
-                if held > OUT_BYTES or len(out) >= 4096:
-                    yield rows()
-                    out, held = [], 0
+            at = 0
+            for some in blocks(batch.column(1), BLOCK_BYTES):
+                if table.chars > CACHE_CHARS:
+                    table.reset()
+                texts, ids = some.to_pylist(), batch.column(0).slice(at, len(some)).to_pylist()
+                at += len(some)
+                numbers = iter(table.look_up_all([x for x in texts if x]))
+                for doc_id, text in zip(ids, texts):
+                    if text:
+                        mine = next(numbers)
+                        links = np.sort(table.links(mine)).astype(kind).tobytes()
+                        out.append((doc_id, *_described(table, mine), links))
+                        held += len(links)
+                    else:
+                        out.append((doc_id, 0, 0, 0, 0, "", b""))
+                    if held > OUT_BYTES or len(out) >= 4096:
+                        yield rows()
+                        out, held = [], 0
         if out:
             yield rows()
 
@@ -387,7 +408,8 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None, most_pairs: int
     """The alignment of each row of (doc_id, text), see ALIGNED, and the counts (a, b, docs) of all linked id pairs."""
     paths = paths or default_tokenizers()
     known = tokenizers(paths)
-    texts = materialise(aligned_texts(docs, paths), "aligned-texts")
+    with in_small_batches(docs.sparkSession):
+        texts = materialise(aligned_texts(docs, paths), "aligned-texts")
     counts = materialise(pair_counts(texts, paths), "alignment-pairs")
     width, context = len(known.bytes_b), docs.sparkSession.sparkContext
     kind = _number(len(known.bytes_a) * width)
