@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import bin_of, euclid
+from cellweave.operators.nearest import tile_neighbours
 from cellweave.session import materialise
 
 c = F.col
@@ -124,17 +125,17 @@ def nearest_within(points: DataFrame, targets: DataFrame, distance: float) -> Da
 def nearest_neighbours(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     """(sample, src, dst, dist, place): the k nearest others of every point, exact, the least id on ties.
 
-    A grid search of radius r is exact for the points whose k-th neighbour lies within r; the others go on with 2 r. A sample of
-    up to k points is done when the radius covers it. The first radius follows from the density.
+    They are found in tiles of about equal numbers of points (:func:`cellweave.operators.nearest.tile_neighbours`). With a first
+    ``radius`` r a grid is searched instead: that is exact for the points whose k-th neighbour lies within r, and the others go on
+    with 2 r; a sample of up to k points is done when the radius covers it. A grid suits points of about even density.
     """
+    if radius is None:
+        return tile_neighbours(points, k)
     size = points.groupBy("sample").agg(
         F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")
     )
     extent = [tuple(r) for r in size.select("sample", "n", "w", "h").collect()]  # one row per sample
     wide = max((math.hypot(w, h) for _, _, w, h in extent), default=0.0) or 1.0
-    if radius is None:
-        guess = [math.sqrt((k + 1) * max(w * h, 1e-9) / (math.pi * n)) * 1.3 for _, n, w, h in extent]
-        radius = max(min(guess, default=1.0), wide / 1e4)
     done: list[DataFrame] = []
     todo = points
     w = Window.partitionBy("sample", "src").orderBy("dist", "dst")
