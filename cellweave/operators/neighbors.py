@@ -69,6 +69,58 @@ def enrichment(edges: DataFrame, cells: DataFrame, permutations: int = 20, seed:
     return real.join(s, ["a", "b"], "left").select("a", "b", "n", ratio(c("n") - mean, spread).alias("z"))
 
 
+def exact_enrichment(edges: DataFrame, cells: DataFrame, label: str = "cell_type") -> DataFrame:
+    """(a, b, n, expected, z): edges from label a to label b, and z by the exact mean and variance over all ways to deal the labels
+    of each sample to its cells anew.
+
+    Two edges of a sample are the same, each other's reverse, share a source, share a target, follow each other or are disjoint.
+    How many are which follows from the degrees, and each kind has one chance of a pair of labels; so no label is shuffled, and
+    what is collected per sample are sums. Edges must be distinct and join different cells; edges of unlabelled cells count nowhere.
+    """
+    labelled = cells.filter(c(label).isNotNull())
+    size = labelled.groupBy("sample", label).agg(F.count("*").cast("double").alias("n"))
+    whole = size.groupBy("sample").agg(F.sum("n").alias("N"))
+    ends = edge_labels(edges, labelled, label).select("sample", "src", "dst", "a", "b")
+    one = lambda key, o, i: ends.select("sample", c(key).alias("id"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    degree = one("src", 1.0, 0.0).unionByName(one("dst", 0.0, 1.0)).groupBy("sample", "id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
+    graph = degree.groupBy("sample").agg(
+        F.sum("o").alias("m"),
+        F.sum(c("o") * (c("o") - 1)).alias("same_source"),
+        F.sum(c("i") * (c("i") - 1)).alias("same_target"),
+        F.sum(c("o") * c("i")).alias("meet"),
+    )
+    pairs = ends.groupBy("sample", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.count("*").alias("k"))
+    back = pairs.filter("k = 2").groupBy("sample").agg((2.0 * F.count("*")).alias("back"))
+    of = whole.join(graph, "sample").join(back, "sample", "left").na.fill(0.0, ["back"])
+    of = of.withColumn("chain", c("meet") - c("back"))
+    apart = c("m") * c("m") - c("m") - c("back") - c("same_source") - c("same_target") - 2 * c("chain")
+
+    def chance(*drawn: Column) -> Column:
+        """Of drawing these without laying back: the last places hold as many cells of a label as are left."""
+        out: Column = F.lit(1.0)
+        for i, x in enumerate(drawn):
+            out = out * ratio(x, c("N") - i, 0.0)
+        return out
+
+    x, y = c("x"), c("y")
+    alike = [chance(*[x - i for i in range(k)]) for k in (2, 3, 4)]
+    square = F.when(
+        c("a") == c("b"),
+        (c("m") + c("back")) * alike[0] + (c("same_source") + c("same_target") + 2 * c("chain")) * alike[1] + apart * alike[2],
+    ).otherwise(
+        c("m") * chance(x, y) + c("same_source") * chance(x, y, y - 1) + c("same_target") * chance(x, x - 1, y)
+        + apart * chance(x, x - 1, y, y - 1)
+    )
+    mean = c("m") * F.when(c("a") == c("b"), alike[0]).otherwise(chance(x, y))
+    left, right = (size.select("sample", c(label).alias(k), c("n").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    drawn = left.join(right, "sample").join(of, "sample").withColumns({"mean": mean, "square": square})
+    drawn = drawn.groupBy("a", "b").agg(F.sum("mean").alias("expected"), F.sum(c("square") - c("mean") * c("mean")).alias("spread"))
+    real = ends.groupBy("a", "b").agg(F.count("*").alias("n"))
+    met = drawn.join(real, ["a", "b"], "left").na.fill(0, ["n"])
+    deviation = F.when(c("spread") > 1e-9 * (1 + c("expected") * c("expected")), F.sqrt("spread"))  # less is rounding
+    return met.select("a", "b", "n", "expected", ((c("n") - c("expected")) / deviation).alias("z"))
+
+
 def cooccurrence(cells: DataFrame, bins: list[float], label: str = "cell_type") -> DataFrame:
     """(bin, a, b, score): P(a | b, distance bin) / P(a | bin), over pairs up to the largest bin edge."""
     p = cells.select("sample", c("cell_id").alias("id"), c("x_centroid").alias("x"), c("y_centroid").alias("y"))

@@ -335,7 +335,7 @@ def i1(spark, sf):
 @register("i2_i3_i5_impute")
 def i2(spark, sf):
     e = _embedding(spark, sf)
-    out = tr.impute(e.filter("id % 3 = 0"), e.filter("id % 3 <> 0"), list(range(32)), [40, 41, 42])
+    out = tr.impute(e.filter("id % 3 = 0"), e.filter("id % 3 <> 0"), list(range(32)), list(range(32, 64)))
     return out.select("id", "gene", r6(c("value"), "value"))
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from cellweave.catalog import register
 from cellweave.operators import cluster
+from cellweave.operators import communities as cm
+from cellweave.operators import feature_index as fi
 from cellweave.operators import neighbors as nb
 from cellweave.operators import qc
 from cellweave.operators import reads as rd
 from cellweave.operators import regions as rg
 from cellweave.operators import spatial as sp
-from cellweave.operators import transfer as tr
+from cellweave.operators import triangulation as tg
 from cellweave.plans.fixtures import cells, counts, polygons, reads
 from cellweave.plans.read_queries import r6
-from cellweave.session import table
+from cellweave.session import materialise, table
 
 c = F.col
 
@@ -91,7 +93,7 @@ _COS = """SELECT a.vec_id AS src, b.vec_id AS dst, 1 - list_cosine_similarity(a.
 )
 def j10(spark, sf):
     e = table(spark, sf, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("features"))
-    out = tr.feature_neighbours(e.filter("id % 100 = 0"), e, 10)
+    out = fi.indexed_neighbours(e.filter("id % 100 = 0"), e, 10, exact=True)
     return out.withColumn("dist", F.round("dist", 6))
 
 
@@ -102,7 +104,7 @@ def j10(spark, sf):
 )
 def j11(spark, sf):
     e = table(spark, sf, "embeddings").select(c("vec_id").alias("id"), c("embedding").alias("features"))
-    out = tr.feature_neighbours(e.filter("id % 10 = 0"), e.filter("id % 10 <> 0"), 15)
+    out = fi.indexed_neighbours(e.filter("id % 10 = 0"), e.filter("id % 10 <> 0"), 15, exact=True)
     return out.withColumn("dist", F.round("dist", 6))
 
 
@@ -191,6 +193,36 @@ def n3_enrichment(spark, sf):
     return nb.enrichment(sp.radius_graph(at, 50), at).withColumn("z", F.round("z", 6))
 
 
+@register(
+    "n3_exact_enrichment",
+    f"""WITH {_RADIUS}, e AS (SELECT edges.sample, src, dst, x.cell_type AS a, y.cell_type AS b FROM edges
+      JOIN f_cells x ON src = x.cell_id JOIN f_cells y ON dst = y.cell_id),
+    g AS (SELECT sample, id, sum(o) AS o, sum(i) AS i FROM (SELECT sample, src AS id, 1.0::DOUBLE AS o, 0.0::DOUBLE AS i FROM e
+      UNION ALL SELECT sample, dst, 0.0, 1.0 FROM e) GROUP BY ALL),
+    s AS (SELECT sample, sum(o) AS m, sum(o * (o - 1)) + sum(i * (i - 1)) AS st, sum(o * (o - 1)) AS s, sum(i * (i - 1)) AS t,
+      sum(o * i) AS meet FROM g GROUP BY ALL),
+    r AS (SELECT x.sample, count(*)::DOUBLE AS back FROM e x JOIN e y ON x.src = y.dst AND x.dst = y.src GROUP BY ALL),
+    k AS (SELECT sample, cell_type, count(*)::DOUBLE AS n FROM f_cells GROUP BY ALL),
+    n AS (SELECT sample, sum(n) AS n FROM k GROUP BY ALL),
+    q AS (SELECT p.cell_type AS a, q.cell_type AS b, p.n AS x, q.n AS y, n.n AS n, m, s, t, coalesce(back, 0) AS back,
+      meet - coalesce(back, 0) AS chain, m * m - m - coalesce(back, 0) - st - 2 * (meet - coalesce(back, 0)) AS apart
+      FROM k p JOIN k q USING (sample) JOIN n USING (sample) JOIN s USING (sample) LEFT JOIN r USING (sample)),
+    v AS (SELECT a, b, m * CASE WHEN a = b THEN x * (x - 1) ELSE x * y END / (n * (n - 1)) AS mean, CASE WHEN a = b THEN
+      (m + back) * x * (x - 1) / (n * (n - 1)) + (s + t + 2 * chain) * x * (x - 1) * (x - 2) / (n * (n - 1) * (n - 2))
+      + apart * x * (x - 1) * (x - 2) * (x - 3) / (n * (n - 1) * (n - 2) * (n - 3))
+      ELSE m * x * y / (n * (n - 1)) + (s * x * y * (y - 1) + t * x * (x - 1) * y) / (n * (n - 1) * (n - 2))
+      + apart * x * (x - 1) * y * (y - 1) / (n * (n - 1) * (n - 2) * (n - 3)) END AS square FROM q),
+    w AS (SELECT a, b, sum(mean) AS expected, sum(square - mean * mean) AS spread FROM v GROUP BY ALL),
+    seen AS (SELECT a, b, count(*) AS n FROM e GROUP BY ALL)
+    SELECT a, b, coalesce(n, 0) AS n, round(expected, 6) AS expected, round((coalesce(n, 0) - expected) / CASE WHEN spread > 1e-9 * (1 + expected * expected) THEN sqrt(spread) END, 6) AS z
+    FROM w LEFT JOIN seen USING (a, b)""",
+)
+def n3_exact(spark, sf):
+    at = cells(spark, sf)
+    out = nb.exact_enrichment(sp.radius_graph(at, 50), at)
+    return out.withColumns({"expected": F.round("expected", 6), "z": F.round("z", 6)})
+
+
 @register(
     "n4_cooccurrence",
     f"""WITH {_NEAR}, p AS (SELECT CASE WHEN dist <= 25 THEN 0 WHEN dist <= 50 THEN 1 ELSE 2 END AS bin, x.cell_type AS a,
@@ -328,6 +360,27 @@ def n14(spark, sf):
     )
 
 
+_SPREAD = [f"((CAST(cell_id AS BIGINT) * cell_id * {a}) % {b}) / 40.0" for a, b in ((7, 1009), (11, 1013))]
+
+
+@register(
+    "n9_triangulation",
+    f"""WITH p AS (SELECT sample, cell_id AS id, x_centroid + {_SPREAD[0]} AS x, y_centroid + {_SPREAD[1]} AS y FROM f_cells),
+    v AS (SELECT a.sample, a.id AS src, b.id AS dst, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS dist, b.x - a.x AS ax, b.y - a.y AS ay,
+      k.x - a.x AS kx, k.y - a.y AS ky FROM p a JOIN p b ON a.sample = b.sample AND a.id < b.id
+      JOIN p k ON k.sample = a.sample AND k.id <> a.id AND k.id <> b.id),
+    s AS (SELECT sample, src, dst, dist, ax * ky - ay * kx AS side, (kx * kx + ky * ky - ax * kx - ay * ky) / (2 * (ax * ky - ay * kx)) AS s
+      FROM v),
+    e AS (SELECT sample, src, dst, any_value(dist) AS dist FROM s GROUP BY sample, src, dst
+      HAVING coalesce(max(CASE WHEN side < 0 THEN s END), -1e300) < coalesce(min(CASE WHEN side > 0 THEN s END), 1e300))
+    SELECT sample, src, dst, round(dist, 6) AS dist FROM e UNION ALL SELECT sample, dst, src, round(dist, 6) FROM e""",
+)
+def n9(spark, sf):
+    """Triangulation neighbours of the cells, which are moved a little off their lattice, where it is not unique."""
+    at = cells(spark, sf).withColumns({k: c(k) + F.expr(v) for k, v in zip(("x_centroid", "y_centroid"), _SPREAD)})
+    return tg.triangulation(sp.as_points(at)).withColumn("dist", F.round("dist", 6))
+
+
 @register("c2_label_propagation")
 def c2(spark, sf):
     at = cells(spark, sf)
@@ -335,6 +388,39 @@ def c2(spark, sf):
     return cluster.propagate_labels(edges, at.select(c("cell_id").alias("id")), target=50)
 
 
+@register(
+    "c2_modularity",
+    f"""WITH {_KNN}, e AS (SELECT sample, src, dst FROM knn UNION ALL SELECT sample, dst, src FROM knn),
+    m AS (SELECT e.sample, a.cell_type AS a, b.cell_type AS b FROM e JOIN f_cells a ON a.cell_id = src JOIN f_cells b
+      ON b.cell_id = dst), d AS (SELECT sample, a, count(*) AS d, sum((a = b)::INT) AS i FROM m GROUP BY ALL)
+    SELECT sample, round(sum(i) / sum(d) - 1.4 * sum(d * d) / (sum(d) * sum(d)), 9) AS modularity FROM d GROUP BY sample""",
+)
+def c2_modularity(spark, sf):
+    """Modularity of the cells' classes on each sample's neighbour graph at the resolution of the communities."""
+    at = cells(spark, sf)
+    edges = sp.nearest_neighbours(sp.as_points(at), 10).select("src", "dst", F.lit(1.0).alias("weight"))
+    labels = at.select(c("cell_id").alias("id"), "sample", c("cell_type").alias("label"))
+    return cluster.modularity(edges, labels, by=["sample"], resolution=1.4).withColumn("modularity", F.round("modularity", 9))
+
+
+@register("c2_communities")
+def c2_communities(spark, sf):
+    """(cell_id, sample, label): communities of each sample's neighbour graph by modularity."""
+    at = cells(spark, sf)
+    edges = sp.nearest_neighbours(sp.as_points(at), 10).select("src", "dst", F.lit(1.0).alias("weight"))
+    return cm.modularity_communities(edges, at, "cell_id", "sample", 1.4)
+
+
+@register("c3_communities_near")
+def c3_communities_near(spark, sf):
+    """(cell_id, sample, label, communities, resolution): the resolution of each sample that gives nearest 20 communities."""
+    at = cells(spark, sf)
+    edges = sp.nearest_neighbours(sp.as_points(at), 10).select("src", "dst", F.lit(1.0).alias("weight"))
+    targets = at.select("sample").distinct().withColumn("target", F.lit(20))
+    found = cm.communities_near(materialise(edges, "edges"), at, targets, "cell_id", "sample")
+    return found.withColumn("resolution", F.round("resolution", 9))
+
+
 @register(
     "c4_smooth_labels",
     f"""WITH {_KNN}, v AS (SELECT src, cell_type AS t, count(*) AS n FROM knn JOIN f_cells ON dst = cell_id GROUP BY ALL),

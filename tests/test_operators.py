@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions import scalar as sc
-from cellweave.operators import cluster, hull, metrics, neighbors, profiles, qc, spatial, transfer
+from cellweave.operators import cluster, hull, metrics, neighbors, profiles, qc, regions, spatial, transfer
 from cellweave.operators import reads as rd
 from cellweave.sources import files
 from cellweave.streaming.counts import stream_counts, stream_reads
@@ -182,22 +182,8 @@ def test_silhouettes_equal_brute_force(spark):
             score.append((b - a) / max(a, b))
         assert got[g][0] == 3 and abs(got[g][1] - np.mean(score)) < 1e-6
     assert got["one"] == (1, -1.0)
-    few = cluster.silhouettes(df, ["g", "id"], "f", "l", "g", most=10).filter("g = 'a'").first()
-    assert few.clusters == 3 and -1 <= few.silhouette <= 1
-
-
-def test_levels_of_two_graphs_and_targets(spark):
-    """Graph 0 is two cliques of 4 joined by a weak edge, graph 1 three pairs without edges between them."""
-    clique = [(i + o, j + o) for o in (0, 10) for i in range(4) for j in range(i + 1, 4)]
-    e = [(0, a, b, 1.0) for a, b in clique] + [(0, 3, 10, 0.1)] + [(1, a, a + 1, 1.0) for a in (100, 102, 104)]
-    edges = spark.createDataFrame(e, "graph long, src long, dst long, weight double")
-    ids = [(0, i + o) for o in (0, 10) for i in range(4)] + [(1, i) for i in range(100, 106)]
-    levels = cluster.levels_of(edges, spark.createDataFrame(ids, "graph long, id long"), "id")
-    best = cluster.pick_level(levels, "id", "graph", edges=edges).collect()
-    assert {r.graph: r.communities for r in best} == {0: 2, 1: 3}
-    assert len({r.label for r in best if r.graph == 0 and r.id < 10}) == 1
-    wanted = spark.createDataFrame([(0, 2), (1, 1)], "graph long, target int")
-    assert {r.graph: r.communities for r in cluster.pick_level(levels, "id", "graph", targets=wanted).collect()} == {0: 2, 1: 3}
+    small = {r.g: (r.clusters, r.silhouette) for r in cluster.silhouettes(df, ["g", "id"], "f", "l", "g", block=5).collect()}
+    assert small == {g: (n, pytest.approx(x)) for g, (n, x) in got.items()}  # every row is scored in blocks of any size
 
 
 def test_neighbours_of_groups_do_not_meet(spark):
@@ -209,3 +195,47 @@ def test_neighbours_of_groups_do_not_meet(spark):
     got = near.collect()
     assert len(got) == 48
     assert sorted(key(r) for r in got if r.g == 1) == sorted(key(r) for r in got if r.g == 0) == sorted(map(key, one.collect()))
+
+
+def test_exact_enrichment_equals_all_permutations(spark):
+    """The mean and deviation of the edges between labels over every way to deal a sample's labels, summed over two samples."""
+    from itertools import permutations
+
+    rng = np.random.default_rng(4)
+    labels = {0: list("aaabbcb"), 1: list("abca")}
+    edges = {s: [(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and rng.random() < 0.4] for s, x in labels.items()}
+    cells = [(s, 10 * s + i, x) for s, v in labels.items() for i, x in enumerate(v)] + [(1, 99, None)]
+    rows = [(s, 10 * s + i, 10 * s + j) for s, e in edges.items() for i, j in e] + [(1, 10, 99)]
+    df = spark.createDataFrame(cells, "sample int, cell_id long, cell_type string")
+    got = neighbors.exact_enrichment(spark.createDataFrame(rows, "sample int, src long, dst long"), df).collect()
+    assert len(got) == 9
+    for r in got:
+        seen, mean, spread = 0, 0.0, 0.0
+        for s, v in labels.items():
+            n = [sum(p[i] == r.a and p[j] == r.b for i, j in edges[s]) for p in permutations(v)]
+            seen += sum(v[i] == r.a and v[j] == r.b for i, j in edges[s])
+            mean, spread = mean + np.mean(n), spread + np.var(n)
+        assert r.n == seen and r.expected == pytest.approx(mean)
+        assert r.z == (pytest.approx((seen - mean) / spread**0.5) if spread > 1e-9 else None)
+
+
+@pytest.mark.parametrize("tile", [3, 4, None])
+def test_density_by_tiles_equals_brute_force(spark, tile):
+    rng = np.random.default_rng(1)
+    at = {(int(s), int(x), int(y), g): int(rng.integers(1, 5)) for s, x, y, g in zip(rng.integers(0, 2, 90), rng.integers(-9, 12, 90), rng.integers(-5, 9, 90), "ab" * 45)}
+    df = spark.createDataFrame([(*k, n) for k, n in at.items()], "sample int, bx long, by long, feature_name string, n long")
+    got = {(r["sample"], r.bx, r.by, r.feature_name): r.density for r in regions.kernel_density(df, 10.0, 15.0, tile).collect()}
+    want: dict = {}
+    for s, x, y in {k[:3] for k in at}:
+        for (t, u, v, g), n in at.items():
+            d = ((x - u) ** 2 + (y - v) ** 2) * 100
+            if t == s and d <= 900:
+                want[s, x, y, g] = want.get((s, x, y, g), 0) + n * math.exp(-d / 450)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_density_shuffles_entries_once(spark):
+    """One exchange, of entries with their copies at borders and not of their stencils."""
+    df = spark.createDataFrame([(0, 1, 1, "g", 1)], "sample int, bx long, by long, feature_name string, n long")
+    plan = regions.kernel_density(df, 10.0, 15.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
