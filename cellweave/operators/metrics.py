@@ -8,9 +8,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.ranking import average_rank
 from cellweave.functions.scalar import ratio
 from cellweave.operators.qc import coexpression
+from cellweave.operators.ranks import average_ranks
 
 c = F.col
 
@@ -229,8 +229,9 @@ def imputation_scores(truth: DataFrame, guess: DataFrame, n_cells: int) -> DataF
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks within groups."""
-    r = df.withColumns({"__x": average_rank(c(x).asc(), *by, ties=c(x)), "__y": average_rank(c(y).asc(), *by, ties=c(y))})
+    """Correlation of average ranks within groups, which may be of any size."""
+    rows = df.select(*by, c(x).alias("__a"), c(y).alias("__b"))
+    r = average_ranks(average_ranks(rows, by, "__a", "__x"), by, "__b", "__y")
     return r.groupBy(*by).agg(F.corr("__x", "__y").alias("spearman"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.ranking import average_rank, false_discovery
 from cellweave.functions.scalar import ratio
+from cellweave.operators.ranks import ordinal_ranks
 from cellweave.operators.reads import seeded_order
 from cellweave.operators.spatial import radius_pairs
 from cellweave.session import materialise
@@ -208,8 +209,8 @@ def binary_enrichment(edges: DataFrame, values: DataFrame, cells: DataFrame, sha
     """(feature_name, odds): odds ratio of edges between cells of the top share (ties: least cell id), per gene."""
     n_cells = cells.count()
     top = int(n_cells * share)
-    order = Window.partitionBy("feature_name").orderBy(c(value).desc(), "sample", "cell_id")
-    high = values.withColumn("k", F.row_number().over(order)).filter(c("k") <= top).select("sample", "cell_id", "feature_name")
+    ranked = ordinal_ranks(values.select("sample", "cell_id", "feature_name", value), ["feature_name"], [c(value).desc(), c("sample"), c("cell_id")])
+    high = materialise(ranked.filter(c("rank") <= top).select("sample", "cell_id", "feature_name"), "high")
     a = high.select("sample", c("cell_id").alias("src"), "feature_name")
     b = high.select("sample", c("cell_id").alias("dst"), "feature_name")
     n11 = edges.join(a, ["sample", "src"]).join(b, ["sample", "dst", "feature_name"]).groupBy("feature_name").agg(F.count("*").alias("n11"))

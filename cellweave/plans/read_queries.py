@@ -232,10 +232,12 @@ def j3(spark, sf):
 @register(
     "j4_anti_join",
     "SELECT sample, cell_id FROM f_cells WHERE NOT EXISTS (SELECT 1 FROM f_reads r WHERE r.sample = f_cells.sample AND "
-    "r.cell_id = f_cells.cell_id)",
+    "r.cell_id = f_cells.cell_id AND method = 'A' AND qv > 35)",
 )
 def j4(spark, sf):
-    return cells(spark, sf).join(reads(spark, sf), ["sample", "cell_id"], "left_anti").select("sample", "cell_id")
+    """Cells without a read of one method and high quality."""
+    good = reads(spark, sf).filter("method = 'A' and qv > 35")
+    return cells(spark, sf).join(good, ["sample", "cell_id"], "left_anti").select("sample", "cell_id")
 
 
 @register(
