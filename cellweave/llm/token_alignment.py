@@ -41,7 +41,7 @@ from cellweave.llm.textscan import blocks
 #: Pairs (of 12 bytes) that are broadcast at most: 48 MB.
 MOST_PAIRS = 4 << 20
 #: Characters of the segments that a worker keeps, and of a text that are cut into segments at once.
-CACHE_CHARS, PART_CHARS = 60 << 20, 1 << 20
+CACHE_CHARS, PART_CHARS = 36 << 20, 1 << 20
 #: Bytes of texts whose new segments are tokenised together.
 BLOCK_BYTES = 256 << 10
 #: Characters that a kept segment counts beside its own, for its numbers.
