@@ -239,3 +239,12 @@ def test_density_shuffles_entries_once(spark):
     df = spark.createDataFrame([(0, 1, 1, "g", 1)], "sample int, bx long, by long, feature_name string, n long")
     plan = regions.kernel_density(df, 10.0, 15.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("n,k,want", [(0, 3, 0), (1, 3, 1), (4, 9, 4), (9, 8, 8), (30, 4, 4)])
+def test_kmeans_of_few_rows(spark, n, k, want):
+    """Fewer different rows than clusters, and rows that repeat."""
+    df = spark.createDataFrame([(i, [float(i % n), float(i % n) ** 2]) for i in range(3 * n)], "id long, f array<double>")
+    got = cluster.kmeans(df, "f", k).collect()
+    assert len(got) == 3 * n and len({r.cluster for r in got}) == want
+    assert len({(tuple(r.f), r.cluster) for r in got}) == n
