@@ -49,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEAN_UP, before)
 
 
+def set_apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with the columns ``needed`` under these names and all others numbered, so that no name of the caller's meets one
+    of an operator's own. ``toDF(*docs.columns)`` gives the names back."""
+    low = [c.lower() for c in docs.columns]
+    names = [f"_{i}" for i in range(len(low))]
+    for n in needed:
+        names[docs.columns.index(n) if n in docs.columns else low.index(n.lower())] = n
+    return docs.toDF(*names)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

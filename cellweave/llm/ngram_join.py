@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, materialise, small_batches
+from cellweave.llm.common import documents, materialise, set_apart, small_batches
 from cellweave.llm.components import components, local_roots
 from cellweave.llm.suffix_scan import Names, scramble
 from cellweave.llm.textscan import runs
@@ -420,7 +420,8 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns kept, with one row of each class: one of least doc_id (null last). Rows without a shingle stay."""
-    rows = materialise(_classified(docs), "classified")
+    inner = set_apart(docs, "doc_id", "text")
+    rows = materialise(_classified(inner), "classified")
     linked = rows.filter("n_shingles > 0")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("w")
     kept = linked.groupBy("class_key").agg(first).select(F.col("w.id").alias("kept_id"), F.col("w.hash").alias("kept_hash"))
@@ -428,12 +429,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     often = linked.groupBy("id", "hash").agg(F.count("*").alias("n")).filter("n > 1")
     often = often.select(F.col("id").alias("often_id"), F.col("hash").alias("often_hash"))
     repeats = F.col("kept_id").eqNullSafe(F.col("often_id")) & (F.col("kept_hash") == F.col("often_hash"))
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__hash": F.xxhash64("text")})
-    on = F.col("__id").eqNullSafe(F.col("kept_id")) & (F.col("__hash") == F.col("kept_hash"))
+    keyed = inner.withColumn("hash", F.xxhash64("text"))
+    on = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
     once = keyed.join(kept.join(often, repeats, "left_anti").unionByName(bare), on, "left_semi")
     # Rows that agree in id and text are told apart by nothing else, so one of them is taken.
-    again = keyed.join(kept.join(often, repeats, "left_semi"), on, "left_semi").dropDuplicates(["__id", "__hash"])
-    return once.unionByName(again).select(*docs.columns)
+    again = keyed.join(kept.join(often, repeats, "left_semi"), on, "left_semi").dropDuplicates(["doc_id", "hash"])
+    return once.unionByName(again).drop("hash").toDF(*docs.columns)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, materialise
+from cellweave.llm.common import documents, materialise, set_apart
 
 MIN_WORDS = 50
 #: Entries of a sketch; one of up to about this many values is exact, a larger one is off by about 0.1 % of rank.
@@ -176,10 +176,11 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. A row is judged by its text, lang and source, so ids may
     repeat or be null; rows are known by 96 bits of hashes of these."""
     judged = ("text", "lang", "source")
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(*judged).alias("a"), F.hash(*judged).alias("b")))
-    scored = score_documents(keyed.select(F.col("__key").alias("doc_id"), *judged))
-    kept = scored.filter("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+    keyed = set_apart(docs, *judged).withColumn("key", F.struct(F.xxhash64(*judged).alias("a"), F.hash(*judged).alias("b")))
+    scored = score_documents(keyed.select(F.col("key").alias("doc_id"), *judged))
+    kept = scored.filter("kept").select("doc_id").distinct()
+    kept = kept.withColumnRenamed("doc_id", "kept_key")
+    return keyed.join(kept, F.col("key") == F.col("kept_key"), "left_semi").drop("key").toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

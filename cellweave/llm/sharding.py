@@ -7,7 +7,8 @@ hash and one table look-up; shards own equal shares to within one slot, and addi
 other keys.
 
 Defined cases: a null key has the placement of Spark's hash of null; repeated rows are placed alike; an empty table
-gives no row; further columns are kept, and the names of the two new columns must not be taken (ValueError).
+gives no row; further columns are kept, whatever their names; the caller names the two new ones, whose names must not be
+taken (ValueError).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.llm.common import set_apart
+
 #: A prime; its rows are the proven bound of what is broadcast. With 64 shards a share is off by 0.1 % at most.
 TABLE_SIZE = 65537
 N_SHARDS = 64
@@ -53,17 +56,22 @@ def fill_table(shards: list[str], size: int = TABLE_SIZE) -> np.ndarray:
     return owner
 
 
-def assign_shards(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
-    """``df`` with columns ``slot`` (long) and ``shard`` (string), by a broadcast join on the filled table."""
-    if taken := {"slot", "shard"} & {c.lower() for c in df.columns}:
+def assign_shards(
+    df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, names: tuple[str, str] = ("slot", "shard")
+) -> DataFrame:
+    """``df`` with two columns, a slot (long) and its shard (string), by a broadcast join on the filled table."""
+    if taken := {n.lower() for n in names} & {c.lower() for c in df.columns}:
         raise ValueError(f"column names are taken: {sorted(taken)}")
+    inner = set_apart(df, key)
+    inner = inner.withColumnRenamed(key, "key")
     owner = fill_table(shards, size)
     lookup = df.sparkSession.createDataFrame(
         pd.DataFrame({"slot": np.arange(size, dtype=np.int64), "shard": np.array(shards, dtype=object)[owner]}),
         "slot long, shard string",
     )
-    slotted = df.withColumn("slot", F.pmod(F.xxhash64(F.col(key)), F.lit(size)).cast("long"))
-    return slotted.join(F.broadcast(lookup), "slot", "inner").select(*df.columns, "slot", "shard")
+    slotted = inner.withColumn("slot", F.pmod(F.xxhash64(F.col("key")), F.lit(size)).cast("long"))
+    placed = slotted.join(F.broadcast(lookup), "slot", "inner")
+    return placed.select(*inner.columns, "slot", "shard").toDF(*df.columns, *names)
 
 
 def write_shards(df: DataFrame, key: str, path: str, shards: list[str], files_per_shard: int = 1) -> None:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, materialise, small_batches
+from cellweave.llm.common import documents, materialise, set_apart, small_batches
 from cellweave.llm.suffix_scan import LENGTH, scramble, stretches, string_pairs
 from cellweave.llm.textscan import blocks, text_bytes
 
@@ -330,8 +330,8 @@ def remove_repeats(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
 
     A character that loses one of its bytes loses all; a document of which nothing is left goes, unless it had no text.
     """
-    at, schema = docs.columns.index("text"), docs.schema
-    extra = len(docs.columns)
+    inner = set_apart(docs, "doc_id", "text")
+    at, schema, extra = inner.columns.index("text"), inner.schema, len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,12 +346,8 @@ def remove_repeats(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column(at).type))
             yield batch.select(range(extra)).filter(pa.array(keep, pa.bool_()))
 
-    taken = set(docs.columns)
-    if clash := taken & {"id", "hash", "settled", "starts", "doc"}:
-        back = {c: f"__{c}" for c in clash}
-        out = remove_repeats(docs.withColumnsRenamed(back), drop_empty)
-        return out.withColumnsRenamed({v: k for k, v in back.items()})
-    return _with_marks(_known(docs)).select(*docs.columns, "id", "hash", "settled", "starts").mapInArrow(run, schema)
+    marked = _with_marks(_known(inner)).select(*inner.columns, "id", "hash", "settled", "starts")
+    return marked.mapInArrow(run, schema).toDF(*docs.columns)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
