@@ -8,7 +8,8 @@ into one number per bucket, so a document costs one table look-up per n-gram.
 
 Defined cases: a null or empty text has no n-grams and the score of the output bias; repeated rows are scored alike; a document
 with several labels counts as the lowest; with no labelled rows every score is 0.5; an empty table gives no row; other
-columns are ignored.
+columns are ignored. A text of more than ``PART`` characters is the mean over the n-grams of all its parts, each of which ends after
+a space or line break if it has one, so no text is held as n-grams as a whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import documents, fold, small_batches
-from cellweave.llm.textscan import code_points, gram_hashes, mix, run_hashes, runs, segment_sums
+from cellweave.llm.textscan import PART, blocks, code_points, gram_hashes, mix, parts, run_hashes, runs
 
 BUCKETS = 1 << 18
 DIMENSIONS = 8
@@ -65,10 +66,12 @@ class Model:
     weight: np.ndarray  # (BUCKETS,) the log-odds that a bucket adds, times its share of the document
     bias: float
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        ids, owners = bucket_ids(texts)
-        total = np.bincount(owners, self.weight[ids], len(texts))
-        count = np.bincount(owners, minlength=len(texts))
+    def score(self, texts: list[str | None], part: int = PART) -> np.ndarray:
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for owner, some in parts(texts, part):
+            ids, which = bucket_ids(some)
+            total += np.bincount(owner[which], self.weight[ids], len(texts))
+            count += np.bincount(owner[which], minlength=len(texts))
         return 1 / (1 + np.exp(-(total / np.maximum(count, 1) + self.bias)))
 
 
@@ -138,7 +141,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = shared.value.score(batch.column(1).to_pylist())
+            scores = [s for some in blocks(batch.column(1)) for s in shared.value.score(some.to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")

@@ -89,6 +89,36 @@ def blocks(texts: pa.Array, size: int = BLOCK_BYTES) -> Iterator[pa.Array]:
         i = j
 
 
+#: Characters of a text, or of several short ones, that are looked at together.
+PART = BLOCK_BYTES // 4
+
+
+def cuts(text: str, size: int = PART) -> list[tuple[int, int]]:
+    """Where the parts of a text begin and end: at most ``size`` characters, the last of them a space or line break if one is there."""
+    out, at = [], 0
+    while len(text) - at > size:
+        end = max(text.rfind(" ", at, at + size), text.rfind("\n", at, at + size)) + 1
+        end = end if end > at else at + size
+        out.append((at, end))
+        at = end
+    return [*out, (at, len(text))]
+
+
+def parts(texts: list[str | None], size: int = PART) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The parts of all texts in groups of at most ``size`` characters and 256 parts, and the number of the text of each."""
+    owner, group, room = [], [], size
+    for i, text in enumerate(texts):
+        for a, b in cuts(text or "", size):
+            if group and (b - a > room or len(group) == 256):
+                yield np.array(owner), group
+                owner, group, room = [], [], size
+            owner.append(i)
+            group.append((text or "")[a:b])
+            room -= b - a
+    if group:
+        yield np.array(owner), group
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts as one row (null: none), and the bounds of each text in it."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
