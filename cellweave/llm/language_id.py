@@ -6,9 +6,11 @@ word is characteristic in the training text. Transitions between the languages o
 training chains in which passages of different languages are spliced, and forward-backward gives each word's posterior. A
 document's language has the largest mean posterior over its words, and that mean is the score.
 
-The recursion runs over the whole of every text, those of a batch side by side. The model is fitted on the driver on at most
-``TRAIN_PASSAGES`` passages (of at most ``TRAIN_CHARS`` characters, at hashed places) for each of the ``MOST_LANGUAGES``
-languages that most documents have, and has a bounded size.
+The recursion runs over the whole of every text, short ones side by side. A long text is read in parts, forwards and then
+backwards, and what a part hands to the next is one vector; the chains are the same, unless a part has neither space nor line
+break. Memory is that of a part. The model is fitted on the driver on at most ``TRAIN_PASSAGES`` passages (of at most
+``TRAIN_CHARS`` characters, at hashed places) a language and about ``TRAIN_ALL`` in all, at least one for every language; of many
+languages each has fewer buckets (``TABLE`` in all), so the tables of n-grams have a bounded size and no language is refused.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with no training rows everything is ``und``;
 repeated rows are judged alike; an empty table gives no row; other columns are ignored by the query and kept by
@@ -26,14 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import documents, fold, small_batches
-from cellweave.llm.textscan import code_points, gram_hashes, letter_table, run_hashes, runs, segment_sums
+from cellweave.llm.textscan import PART, blocks, code_points, cuts, gram_hashes, letter_table, parts, run_hashes, runs, segment_sums
 
 BUCKETS = 1 << 16
 LEXICON = 1 << 18
 TRAIN_PASSAGES = 240
 TRAIN_CHARS = 3000
-#: Languages that are learned at most, the most frequent ones.
-MOST_LANGUAGES = 200
+TRAIN_ALL = 48_000
+#: Buckets of all languages together; up to 256 languages have ``BUCKETS`` each.
+TABLE = BUCKETS << 8
 UNKNOWN = "und"
 
 
@@ -55,15 +58,20 @@ def word_grid(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return codes, starts, ends, np.append(np.searchsorted(starts, edges), len(starts))
 
 
-def gram_features(codes: np.ndarray, n: int) -> np.ndarray:
+def gram_features(codes: np.ndarray, n: int, buckets: int = BUCKETS) -> np.ndarray:
     """Bucket of the n-gram that starts one code before each position; index 0 is position 1 of ``codes``."""
-    return (gram_hashes(codes, n, n) & np.uint32(BUCKETS - 1)).astype(np.int64)
+    return (gram_hashes(codes, n, n) & np.uint32(buckets - 1)).astype(np.int64)
+
+
+def buckets_of(n_languages: int) -> int:
+    """Buckets of a language, a power of two."""
+    return min(BUCKETS, max(1 << 8, 1 << (TABLE // max(n_languages, 1)).bit_length() - 1))
 
 
 @dataclass
 class Model:
     languages: list[str]
-    grams: np.ndarray  # (3, L, BUCKETS)
+    grams: np.ndarray  # (3, L, buckets)
     lexicon: np.ndarray  # (LEXICON,) 0 or 1 + language
     lexical: np.ndarray  # (1 + L, L)
     moves: np.ndarray  # (L, L)
@@ -73,7 +81,7 @@ class Model:
         score = np.zeros((len(starts), len(self.languages)), np.float32)
         if not len(starts):
             return score
-        spots = [np.concatenate([[0], gram_features(codes, n)[: len(codes) - n]]) for n in (2, 3, 4)]
+        spots = [np.concatenate([[0], gram_features(codes, n, self.grams.shape[2])[: len(codes) - n]]) for n in (2, 3, 4)]
         edges = np.stack([starts, ends], 1).ravel()
         for j in range(len(self.languages)):
             letters = np.zeros(len(codes), np.float32)
@@ -88,17 +96,48 @@ class Model:
         """Posterior of each word's language; ``bounds`` are the texts' limits in words."""
         return chain_posteriors(emissions, bounds, self.moves, self.first)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        codes, starts, ends, bounds = word_grid(texts)
+    def predict(self, texts: list[str | None], part: int = PART) -> tuple[list[str], np.ndarray]:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        post = self.posteriors(self.emissions(codes, starts, ends), bounds)
-        n = np.diff(bounds)
-        mean = segment_sums(post, bounds) / np.maximum(n, 1)[:, None]
+        part = max(8 * part // max(len(self.languages), 8), 64)
+        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        long = [i for i, t in enumerate(texts) if t and len(t) > part]
+        for i in long:
+            total[i], n[i] = self.long_sums(texts[i], part)
+        short = np.setdiff1d(np.arange(len(texts)), long)
+        for owner, some in parts([texts[i] for i in short], part):
+            codes, starts, ends, bounds = word_grid(some)
+            total[short[owner]] = segment_sums(self.posteriors(self.emissions(codes, starts, ends), bounds), bounds)
+            n[short[owner]] = np.diff(bounds)
+        mean = total / np.maximum(n, 1)[:, None]
         best = mean.argmax(1)
         names = [self.languages[b] if k else UNKNOWN for b, k in zip(best, n)]
         return names, np.where(n > 0, np.clip(mean[np.arange(len(n)), best], 0, 1), 0.0)
 
+    def long_sums(self, text: str, part: int) -> tuple[np.ndarray, int]:
+        """The sum of the posteriors of all words of one text, and how many there are."""
+
+        def evidence(a: int, b: int) -> np.ndarray:
+            codes, starts, ends, _ = word_grid([text[a:b]])
+            e = self.emissions(codes, starts, ends).astype(np.float64)
+            return np.maximum(np.exp(e - e.max(1, keepdims=True)), 1e-200) if len(e) else e
+
+        m, first = np.exp(self.moves - self.moves.max()), np.exp(self.first - self.first.max())
+        spans, before, state = cuts(text, part), [], None
+        for span in spans:
+            x = evidence(*span)
+            before.append(state)
+            state = run_chain(x, m, first, state)[-1] if len(x) else state
+        total, n, after = np.zeros(len(first)), 0, None
+        for span, state in zip(reversed(spans), reversed(before)):
+            x = evidence(*span)
+            if len(x):
+                back = run_chain(x[::-1], m.T, np.ones_like(first), after)[::-1]
+                post = run_chain(x, m, first, state) * (back / x)
+                total += (post / post.sum(1, keepdims=True)).sum(0)
+                n, after = n + len(x), back[0]
+        return total, n
+
     def tag(self, text: str | None) -> list[tuple[str, str]]:
         """(word, language) of each word of one text: the labelling itself, for code-switched text."""
         codes, starts, ends, bounds = word_grid([text])
@@ -150,6 +189,39 @@ def chain_posteriors(e: np.ndarray, bounds: np.ndarray, moves: np.ndarray, first
     return out
 
 
+def run_chain(x: np.ndarray, m: np.ndarray, first: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """The recursion a[t] = x[t] * (a[t-1] @ m), scaled, over one chain that goes on from ``before`` or begins with ``first``.
+
+    The chain is cut into about as many segments as each has places. What every segment does to any vector before it is found for
+    all of them side by side, then the vectors between segments follow one from another, then all places side by side again.
+    """
+    if before is None:
+        a = first * x[0]
+        a /= a.sum()
+        return np.concatenate([a[None], run_chain(x[1:], m, first, a)])
+    n, k = x.shape
+    if not n:
+        return np.empty((0, k))
+    size = int(np.ceil(n**0.5))
+    segments = -(-n // size)
+    grid = np.concatenate([x, np.ones((segments * size - n, k))]).reshape(segments, size, k)
+    live = [segments - ((segments - 1) * size + t >= n) for t in range(size)]
+    through = np.tile(np.eye(k), (segments, 1, 1))
+    for t, s in enumerate(live):
+        step = (through[:s] @ m) * grid[:s, t, None, :]
+        through[:s] = step / step.sum((1, 2), keepdims=True)
+    a = np.empty((segments, k))
+    a[0] = before
+    for s in range(1, segments):
+        a[s] = a[s - 1] @ through[s - 1]
+        a[s] /= a[s].sum()
+    for t, s in enumerate(live):
+        step = (a[:s] @ m) * grid[:s, t]
+        a[:s] = step / step.sum(1, keepdims=True)
+        grid[:s, t] = a[:s]
+    return grid.reshape(-1, k)[:n]
+
+
 def forward_backward(e: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For scores e (S, T, L) of chains of one length: posteriors (S, T, L), and the expected moves (S, L, L)."""
     s, t, n = e.shape
@@ -182,15 +254,18 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: i
     codes, starts, ends, bounds = word_grid([t for t, _ in rows])
     label = np.repeat([languages.index(lang) for _, lang in rows], np.diff(bounds)).astype(np.int64)
     slot = (run_hashes(codes, starts, ends) & np.uint32(LEXICON - 1)).astype(np.int64)
-    seen = np.zeros((LEXICON, max(n_lang, 1)), np.float32)
-    np.add.at(seen, (slot, label), 1)
-    total = seen.sum(1)
-    share = (seen / np.maximum(seen.sum(0), 1)) if n_lang else seen
-    share = share / np.maximum(share.sum(1, keepdims=True), 1e-12)
-    lexicon = np.where((total >= 3) & (share.max(1) > 0.8), share.argmax(1) + 1, 0).astype(np.int16)
+    buckets = buckets_of(n_lang)
+    # The share of each (word, language) that occurs, of the word's shares in all languages.
+    pair, seen = np.unique(slot * max(n_lang, 1) + label, return_counts=True)
+    word, lang = pair // max(n_lang, 1), pair % max(n_lang, 1)
+    share = seen / np.maximum(np.bincount(label, minlength=max(n_lang, 1)), 1)[lang]
+    share = share / np.bincount(word, share, LEXICON)[word]
+    lexicon = np.zeros(LEXICON, np.int32)
+    clear = (np.bincount(word, seen, LEXICON)[word] >= 3) & (share > 0.8)
+    lexicon[word[clear]] = lang[clear] + 1
     model = Model(
         languages,
-        np.zeros((3, n_lang, BUCKETS), np.float32),
+        np.zeros((3, n_lang, buckets), np.float32),
         lexicon,
         np.zeros((1 + n_lang, n_lang)),
         np.zeros((n_lang, n_lang)),
@@ -201,7 +276,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: i
     # Training chains: 48 words, spliced from three stretches of 8 to 32 words of different passages.
     rng = np.random.default_rng(seed)
     width, per_batch = 48, 64
-    features = [np.pad(gram_features(codes, n), (1, n))[: len(codes)] for n in (2, 3, 4)]
+    features = [np.pad(gram_features(codes, n, buckets), (1, n))[: len(codes)] for n in (2, 3, 4)]
     lengths = ends - starts
     usable = np.flatnonzero(np.diff(bounds) >= 1)
     n_batches = max(8, int(len(starts) / (width * per_batch)))
@@ -235,7 +310,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed: i
             for k in range(3):
                 f = features[k][where]
                 for j in range(n_lang):
-                    grads[k, j] = np.bincount(f, push[:, j], BUCKETS)
+                    grads[k, j] = np.bincount(f, push[:, j], buckets)
                 model.grams[k] += grads[k] / 4
     return model
 
@@ -257,14 +332,13 @@ def training_passages(docs: DataFrame, passages: int = TRAIN_PASSAGES, chars: in
     """A bounded sample of labelled passages: about ``passages`` a language, at hashed documents and places."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
-    sizes = sizes.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     counts = {r["lang"]: max(r["n"], 1) for r in sizes.collect()}
     if not counts:
         return []
+    passages = max(1, min(passages, TRAIN_ALL // len(counts)))
     scale = 1_000_000_000
-    share: Column = F.lit(0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 1.2 * passages / n) * scale))).otherwise(share)
+    shares = [(lang, int(min(1.0, max(1.2 * passages, 20) / n) * scale)) for lang, n in sorted(counts.items())]
+    share: Column = F.create_map(*[F.lit(v) for pair in shares for v in pair])[F.col("lang")]
     h = F.xxhash64("doc_id")
     picked = (
         rows.filter(F.pmod(h, F.lit(scale)) < share)
@@ -289,6 +363,15 @@ def training_passages(docs: DataFrame, passages: int = TRAIN_PASSAGES, chars: in
     return out
 
 
+def predict_column(model: Model, texts: pa.Array) -> tuple[list[str], list[float]]:
+    names, scores = [], []
+    for some in blocks(texts):
+        said, how_sure = model.predict(some.to_pylist())
+        names += said
+        scores += how_sure.tolist()
+    return names, scores
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score."""
     spark = docs.sparkSession
@@ -297,7 +380,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(1).to_pylist())
+            names, scores = predict_column(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
@@ -314,7 +397,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = shared.value.predict(batch.column(at).to_pylist())
+            names, scores = predict_column(shared.value, batch.column(at))
             yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
