@@ -5,9 +5,9 @@ ten consecutive words of one test item; an item of one to nine words is one wind
 occurrence of a window is hit. Test words are numbered, so a document becomes a row of numbers; windows of test words only
 are looked up by fingerprint in the set, and every hit is verified word by word.
 
-The set is arrays, 11 to 22 bytes for each byte of the tests as measured. What is broadcast is bounded: tests are dealt into slices of at
-most ``slice_bytes`` of text, as measured (only a single text may be longer), each slice is one scan of the documents, and its
-hits are added to those that the row brings from the scans before. One slice is the usual case.
+The set is arrays, 11 to 22 bytes for each byte of the tests as measured. What is broadcast is bounded: the different tests are put
+into slices of at most ``slice_bytes`` of text and ids (only a single test may be longer). One slice is the usual case. Of several,
+each is a scan in tasks of its own, so a task holds one set, and hits are brought together by row.
 
 Defined cases: a null or wordless text has no words, no hits and no items; item ids may repeat (the id is reported once); a
 test without an id hits words but is not listed; an empty test table leaves every document clean; repeated documents are
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import documents, small_batches
+from cellweave.llm.common import documents, materialise, small_batches
 from cellweave.llm.textscan import NameTable, blocks, chunk_bounds, chunk_names
 
 WINDOW = 10
@@ -124,63 +124,58 @@ class WindowSet:
         return np.diff(bounds), hits, [sorted(x) for x in items]
 
 
-def _slices(tests: DataFrame, slice_bytes: int, window: int) -> Iterator[tuple[WindowSet, bool]]:
-    """The sets of all slices, and whether it is the last. Tests are dealt into small buckets by hash; buckets are put together
-    by their measured sizes."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0))
-    total = tests.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = max(1, -(-8 * total // slice_bytes))
-    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    slices, room = [[]], slice_bytes
-    for row in tests.groupBy(bucket.alias("b")).agg(F.sum(size).alias("n")).orderBy("b").toLocalIterator():
-        if slices[-1] and row["n"] > room:
-            slices.append([])
-            room = slice_bytes
-        slices[-1].append(row["b"])
-        room -= row["n"]
-    for k, some in enumerate(slices):
-        rows = tests.filter(bucket.isin(some)).collect() if some else []
-        yield WindowSet([(r["item_id"], r["text"]) for r in rows], window), k == len(slices) - 1
+def _slices(tests: DataFrame, slice_bytes: int, window: int) -> Iterator[WindowSet]:
+    """The sets of all slices, one at least. Tests come to the driver as they are put into slices, and stay no longer."""
+    some, room = [], slice_bytes
+    for row in tests.filter(F.octet_length("text") > 0).dropDuplicates().toLocalIterator():
+        size = len(row["text"].encode("utf-8", "surrogatepass")) + len(str(row["item_id"]))
+        if some and size > room:
+            yield WindowSet(some, window)
+            some, room = [], slice_bytes
+        some.append((row["item_id"], row["text"]))
+        room -= size
+    yield WindowSet(some, window)
+
+
+_FOUND = "n_words long, hits array<long>, items array<string>"
+
+
+def _scan(docs: DataFrame, tests: WindowSet, key: str, only_hits: bool) -> DataFrame:
+    """``docs`` (key, text) as key, n_words, hits and items."""
+    shared = docs.sparkSession.sparkContext.broadcast(tests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in blocks(batch.column(1)):
+                count, hits, items = shared.value.scan(some)
+                found = [pa.array(count, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *found], [key, "n_words", "hits", "items"])
+                at += len(some)
+                yield out.filter(pa.array([len(h) > 0 for h in hits], pa.bool_())) if only_hits else out
+
+    return docs.mapInArrow(run, f"{key} long, {_FOUND}")
 
 
 def scan_documents(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slice_bytes: int = SLICE_BYTES
 ) -> DataFrame:
     """doc_id, n_words, hits (sorted word positions), items (ids of the tests hit, as sorted strings)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    found = docs.select("doc_id", "text")
-    first = True
-    for tests, last in _slices(benchmark.select("item_id", "text"), slice_bytes, window):
-        shared = spark.sparkContext.broadcast(tests)
-        kept = ["doc_id"] if last else ["doc_id", "text"]
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, kept=kept) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = 0
-                for some in blocks(batch.column(1)):
-                    count, hits, items = shared.value.scan(some)
-                    part = batch.slice(at, len(some))
-                    at += len(some)
-                    if not first:
-                        for i, (h, who) in enumerate(zip(part.column(3), part.column(4))):
-                            if len(h):
-                                hits[i] = np.union1d(hits[i], np.array(h.as_py(), np.int64))
-                                items[i] = sorted({*items[i], *who.as_py()})
-                    new = [
-                        pa.array(count, pa.int64()),
-                        pa.array(hits, pa.list_(pa.int64())),
-                        pa.array(items, pa.list_(pa.string())),
-                    ]
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[: len(kept)], *new], [*kept, "n_words", "hits", "items"]
-                    )
-
-        # A row keeps its place through all scans, so equal and null ids stay rows of their own.
-        text = "" if last else "text string, "
-        found = found.mapInArrow(run, f"doc_id long, {text}n_words long, hits array<long>, items array<string>")
-        first = False
-    return found
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    slices = _slices(benchmark.select("item_id", "text"), slice_bytes, window)
+    first, second = next(slices), next(slices, None)
+    if second is None:
+        return _scan(docs, first, "doc_id", False)
+    # Equal and null ids stay rows of their own.
+    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    found = _scan(rows.select("row", "text"), first, "row", False)
+    while second is not None:
+        found = found.unionByName(_scan(rows.select("row", "text"), second, "row", True))
+        second = next(slices, None)
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    found = found.groupBy("row").agg(F.max("n_words").alias("n_words"), union("hits"), union("items"))
+    return rows.select("row", "doc_id").join(found, "row").drop("row")
 
 
 def cut_spans(text: str | None, hits: set[int]) -> str | None:
@@ -213,14 +208,15 @@ def clean(
 ) -> DataFrame:
     """``docs`` without contamination: mode 'documents' drops hit documents, 'spans' cuts the hit words out.
 
-    All columns are kept. Every slice of tests is a pass of its own over what the passes before have left.
+    All columns are kept. Every slice of tests is a pass of its own over what the passes before have left and written.
     """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
     spark = docs.sparkSession
     small_batches(spark)
     at, schema = docs.columns.index("text"), docs.schema
-    for tests, _ in _slices(benchmark.select("item_id", "text"), slice_bytes, window):
+    for k, tests in enumerate(_slices(benchmark.select("item_id", "text"), slice_bytes, window)):
+        docs = materialise(docs, "cleaned") if k else docs
         shared = spark.sparkContext.broadcast(tests)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
