@@ -3,18 +3,22 @@ r"""Main-text extraction by tag-path ratios.
 A page is read tag by tag into text nodes, each with its root-to-leaf tag path, and into blocks (text between the edges of
 block elements). Elements that by tag, role or class are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles or reader comments are left out. For every tag path the mean text length and the mean number of punctuation marks per
-node are taken; both series are smoothed along the page and fused by the root of their product, and nodes at or above a share
-of the characters' mean, or that of a short sentence, are content, as are those of paths of which every second node has a
-mark. A block with a content node is kept whole, and so is a heading if content follows before the next heading of its rank
+node are taken and fused by the root of their product. Along the page, over runs of nodes of one path, the logarithms of these
+ratios are smoothed (so a short list inside of long text gains much, one beside it little), and averaged by path; a path has the
+larger of its own ratio and this mean, so short neighbours take nothing from long text. Paths at or above
+a share of the characters' mean, or the ratio of a short sentence, are content, as are those of which every second node has a
+mark; a path is content as a whole or not at all. A block with a content node is kept whole, and so is a heading if content follows before the next heading of its rank
 or a higher one. All else is dropped. If the article and main elements of the page hold half of the content's characters
 together, only what stands in one of them is kept.
 
 Inside a block white space becomes one space (a line break element is white space), ends are trimmed, character references are
 decoded, and the blocks that are not empty are joined by ``\n``.
 
-Defined cases: null or empty html gives an empty text; unclosed and misnested tags are closed as browsers do, and elements nest
-``MOST_DEPTH`` deep, a further one closing the innermost; an unterminated comment or script runs to the end of the page; a tag
-whose quotes do not end closes at its first ``>``, and one without ``>`` is text; repeated rows are extracted alike; an empty
+Defined cases: null or empty html gives an empty text; unclosed and misnested tags are closed as browsers do; elements nest
+``MOST_DEPTH`` deep, and of further ones text takes the path of the innermost, while what is left out stays so; an unterminated
+comment or script runs to the end of the page; quotes open after ``=`` only, one that does not end is part of its word, and if
+the quotes of a tag leave it no ``>`` up to the end of the page, quotes count no more from there; a tag without ``>`` is text;
+repeated rows are extracted alike; an empty
 table gives no row; further columns are ignored. Time and memory are linear in a page's length.
 """
 
@@ -22,8 +26,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
+from math import exp, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +54,13 @@ LEFT_OUT_WORDS = frozenset(
     "footer gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pagination popup promo related "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that stand beside those in names of furniture (``share-buttons``); with any other (``related-work``) a name is no furniture.
+BESIDE = frozenset(
+    "area articles bar block body bottom box button buttons col column container content count desktop entry footer form group "
+    "header heading icon icons inner item items left link links list main meta mobile news outer page panel post posts primary "
+    "right row secondary section site stories text title top wrap wrapper".split()
+)
+PROSE = frozenset("b blockquote dd dt em h1 h2 h3 h4 h5 h6 i li p pre q span strong td th".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu".split())
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？…]")
 #: Tags that a start tag closes if they are open: the start tag, what it closes, and where the search for it ends.
@@ -69,16 +82,24 @@ HEADINGS = {f"h{k}": k for k in range(1, 7)}
 
 #: Open elements at most, as in browsers.
 MOST_DEPTH = 512
-#: Tags of a page that may turn out to have open quotes before all quotes are ignored.
-MOST_OPEN_QUOTES = 16
 
 _MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_TO_END = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_TO_END = re.compile(r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)[^>=]*+)*+>")
+_ATTR = re.compile(r"([^\s=/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+def _furniture(tag: str, names: str) -> bool:
+    """Whether classes or an id say that an element is not the article: one of them, or all of them on an element of prose."""
+    said = []
+    for name in names.split():
+        words = _WORD.findall(name)
+        some = not LEFT_OUT_WORDS.isdisjoint(words)
+        said.append(some and all(w in LEFT_OUT_WORDS or w in BESIDE or w.isdigit() for w in words))
+    return bool(said) and (all(said) if tag in PROSE else any(said))
+
+
 def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in LEFT_OUT or tag == "header" and not in_article:
         return True
@@ -94,7 +115,7 @@ def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id") and not LEFT_OUT_WORDS.isdisjoint(_WORD.findall(value)):
+        if name in ("class", "id") and _furniture(tag, value):
             return True
     return False
 
@@ -104,7 +125,7 @@ def markup(html: str) -> Iterator[tuple[int, int, str, str, str]]:
 
     What is sent to the generator is the place at which it goes on.
     """
-    at, open_quotes = 0, 0
+    at, quotes = 0, True
     while m := _MARKUP.search(html, at):
         start, opening = m.start(), m[0]
         if opening in ("<!--", "<![CDATA["):
@@ -121,11 +142,8 @@ def markup(html: str) -> Iterator[tuple[int, int, str, str, str]]:
             end, kind, name, rest = first + 1, "!", "", ""
             if opening[1] not in "!?":
                 named = _NAME.match(html, start)
-                whole = _TO_END.match(html, named.end()) if open_quotes < MOST_OPEN_QUOTES else None
-                if whole:
-                    end = whole.end()
-                else:
-                    open_quotes += 1
+                whole = _TO_END.match(html, named.end()) if quotes else None
+                end, quotes = (whole.end(), True) if whole else (end, False)
                 kind, name, rest = named[1], named[2].lower(), html[named.end() : end - 1]
         skipped_to = yield start, end, kind, name, rest
         at = skipped_to or end
@@ -143,11 +161,15 @@ class Page:
         # Open elements: tag, whether it or an ancestor is left out, and path, named and rank of its nodes.
         stack: list[tuple[str, bool, int, bool, int]] = []
         out, path, named, rank = False, 0, False, 0
+        # Open elements beyond the deepest: how many by tag, and the first that is left out, as the tag and its number.
+        deeper: Counter[str] = Counter()
+        hidden: tuple[str, int] | None = None
         at = 0
 
         def settle() -> None:
             nonlocal out, path, named, rank
             _, out, path, named, rank = stack[-1] if stack else ("", False, 0, False, 0)
+            out = out or hidden is not None
 
         def text(raw: str) -> None:
             if not out and raw:
@@ -158,9 +180,12 @@ class Page:
                 self.blocks.append([])
 
         def pop(k: int) -> None:
-            if any(t in BLOCK for t, *_ in stack[k:]):
+            nonlocal hidden
+            if any(t in BLOCK for t, *_ in stack[k:]) or any(t in BLOCK for t in deeper):
                 edge()
             del stack[k:]
+            deeper.clear()  # they stood inside
+            hidden = None
             settle()
 
         tags = markup(html)
@@ -171,6 +196,13 @@ class Page:
             at = end
             if kind == "[":
                 text(entities.unescape(rest).replace("&", "&amp;"))
+            elif kind == "/" and deeper[tag]:
+                if hidden == (tag, deeper[tag]):
+                    hidden = None
+                    settle()
+                deeper[tag] -= 1
+                if tag in BLOCK:
+                    edge()
             elif kind == "/":
                 k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 if tag == "br":
@@ -207,11 +239,13 @@ class Page:
                         found = tags.send(at) if at < len(html) else None
                         continue
                 elif tag not in VOID:
-                    if len(stack) >= MOST_DEPTH:
-                        pop(MOST_DEPTH - 1)
                     gone = out or _left_out(tag, rest, named)
-                    path = paths.setdefault((path, tag), len(paths) + 1)
-                    stack.append((tag, gone, path, named or tag in ("article", "main"), rank or HEADINGS.get(tag, 0)))
+                    if len(stack) >= MOST_DEPTH:
+                        deeper[tag] += 1
+                        hidden = (tag, deeper[tag]) if gone and not out else hidden
+                    else:
+                        path = paths.setdefault((path, tag), len(paths) + 1)
+                        stack.append((tag, gone, path, named or tag in ("article", "main"), rank or HEADINGS.get(tag, 0)))
                     settle()
             found = next(tags, None)
         text(html[at:])
@@ -225,13 +259,15 @@ class Page:
             size[p] += len(t.strip())
             marks[p] += len(PUNCTUATION.findall(t))
             count[p] += 1
-        length = smooth([size[p] / count[p] for p, _ in nodes])
-        mark = smooth([marks[p] / count[p] for p, _ in nodes])
-        fused = [(a * (1 + b)) ** 0.5 for a, b in zip(length, mark)]
-        letters = [len(t.strip()) for _, t in nodes]
-        limit = min(CONTENT_SHARE * sum(f * n for f, n in zip(fused, letters)) / sum(letters), CLEAR)
-        content = iter([f >= limit or b >= SENTENCE_MARKS for f, b in zip(fused, mark)])
-        kept = [any([next(content) for _, t, *_ in block if not t.isspace()]) for block in self.blocks]
+        fused = {p: log(size[p] / n * (1 + marks[p] / n)) / 2 for p, n in count.items()}
+        order = [p for p, _ in groupby(p for p, _ in nodes)]
+        near = defaultdict(list)
+        for p, f in zip(order, smooth([fused[p] for p in order])):
+            near[p].append(f)
+        ratio = {p: exp(max(fused[p], sum(f) / len(f))) for p, f in near.items()}
+        limit = min(CONTENT_SHARE * sum(exp(fused[p]) * n for p, n in size.items()) / sum(size.values()), CLEAR)
+        content = {p for p, f in ratio.items() if f >= limit or marks[p] >= SENTENCE_MARKS * count[p]}
+        kept = [any(p in content for p, t, *_ in block if not t.isspace()) for block in self.blocks]
         inside = [any(named for _, _, named, _ in block) for block in self.blocks]
         held = [sum(len(t) for _, t, *_ in block) * k for block, k in zip(self.blocks, kept)]
         if sum(n for n, i in zip(held, inside) if i) >= NAMED_SHARE * sum(held):

@@ -82,6 +82,30 @@ def test_long_pages_take_linear_time(piece):
     assert time.process_time() - began < 40
 
 
+def test_article_text_is_kept():
+    said = "This sentence, like the others, has some words and marks in it; is it not so? "
+    items = "<ul><li>Milk</li><li>Eggs</li><li>Flour</li></ul>"
+    page = f"<article><h1>Cake</h1><p>{said * 8}</p>{items}<p>{said * 8}</p></article>"
+    assert html_extract.main_text(page).split("\n")[2:5] == ["Milk", "Eggs", "Flour"]
+    assert html_extract.main_text("<p><i a=b' >w0</i>, <i a=b' >w1</i></p>") == "w0, w1"
+    assert html_extract.main_text("<p><i a=\"x>y\" b='>'>w0</i> <i a\"b>w1</i> <i c=\"d>w2</i></p>") == "w0 w1 w2"
+    assert html_extract.main_text("<p>" + "<i a=\"x'>w</i>" * 40 + "<i b='\">v</i></p>").count("w") == 40 // 2
+    for name in ("related-work", "share price", "notice-period", "social-network"):
+        inside = f"<article><p>{said * 3}</p><div class='related-work'><p>{said}</p></div><p class='{name}'>{said}</p></article>"
+        assert html_extract.main_text(inside).count("is it not so?") == 5
+    for name in ("related", "share-buttons", "ad sticky", "sidebar_left", "comments-area", "ad-1"):
+        assert html_extract.main_text(f"<article><p>{said * 3}</p><div class='{name}'><p>{said}</p></div></article>").count("so?") == 3
+
+
+def test_deep_elements_stay_left_out():
+    said = "This sentence, like the others, has some words and marks in it. "
+    depth = html_extract.MOST_DEPTH
+    for n in (depth - 3, depth - 2, depth - 1, depth, depth + 5):
+        deep = "<span>" * n + "<nav><a>Home, and more.</a> <nav>or, all.</nav> <a>About, us.</a></nav>" + f"<b>{said}</b>" + "</span>" * n
+        got = html_extract.main_text(f"<div>{deep}<p>{said}</p></div>")
+        assert got.count("marks") == 2 and "Home" not in got and "About" not in got and "all" not in got
+
+
 def test_pages_query(spark):
     rows = [(1, "u", None), (2, None, "<p>a</p>"), (2, None, "<p>a</p>")]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -117,6 +141,25 @@ def test_quality_scores_equal_the_mean_of_vectors():
         assert abs(s - 1 / (1 + np.exp(-z))) < 1e-6
 
 
+def test_quality_of_a_text_in_parts():
+    rng = np.random.default_rng(5)
+    model = quality_model.Model(rng.normal(0, 1, quality_model.BUCKETS).astype(np.float32), 0.1)
+    text = " ".join(rng.choice(WORDS, 4000))
+    parts = [text[a:b] for a, b in quality_model.parts.__globals__["cuts"](text, 900)]
+    assert "".join(parts) == text and len(parts) > 20 and all(p.endswith(" ") for p in parts[:-1])
+    ids = [quality_model.bucket_ids([p])[0] for p in parts]
+    mean = np.concatenate([model.weight[i] for i in ids]).mean(dtype=np.float64)
+    got = model.score([None, text, "a b", text], 900)
+    assert np.allclose(got[[1, 3]], 1 / (1 + np.exp(-(mean + 0.1)))) and np.allclose(got[[0, 2]], model.score([None, "a b"]))
+    assert abs(got[1] - model.score([text])[0]) < 0.02
+
+
+def test_quality_without_labels(spark):
+    empty = documents(spark, SF, "labels").limit(0)
+    model = quality_model.train(documents(spark, SF), empty)
+    assert {r.score for r in quality_model.score_documents(docs_of(spark, ODD), model).collect()} == {0.5}
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     out = quality_model.op2_quality_classifier(spark, sf).join(documents(spark, sf, "labels"), "doc_id").filter("held_out")
@@ -509,8 +552,62 @@ def test_many_languages_and_repeated_ids(spark):
     rows += [(7, f"again and again {k % 3}", "l7") for k in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = language_id.training_passages(docs, passages=2)
-    assert len({lang for _, lang in got}) <= language_id.MOST_LANGUAGES and len(got) <= 2 * language_id.MOST_LANGUAGES
+    assert len({lang for _, lang in got}) == 300 and len(got) <= 600
     assert sum("again" in t for t, _ in got) <= 1
+    model = language_id.fit(got, epochs=1)
+    assert model.grams.shape == (3, 300, language_id.buckets_of(300)) and model.grams.size <= 3 * language_id.TABLE
+    assert model.predict(["wort299 satz299"])[0][0] in model.languages
+
+
+def test_long_texts_are_read_in_parts():
+    model = language_id.fit([("the cat sat on the mat", "en"), ("der hund und die katze", "de"), ("le chat et la souris", "fr")] * 9)
+    rng = np.random.default_rng(3)
+    model.moves[:] = rng.normal(0, 1, model.moves.shape)
+    model.first[:] = rng.normal(0, 1, 3)
+    pool = "the cat der hund le chat mat katze souris x7 --".split()
+    texts = [" ".join(rng.choice(pool, n)) for n in (1, 5, 400, 3000)] + ["123 " * 200, "a" * 300 + " the cat", "-- " * 90 + "le chat"]
+    for t in texts:
+        codes, starts, ends, bounds = language_id.word_grid([t])
+        whole = language_id.segment_sums(model.posteriors(model.emissions(codes, starts, ends), bounds), bounds)[0]
+        for part in (40, 333, 1 << 20):
+            got, n = model.long_sums(t, part)
+            if "a" * 300 in t and part < 300:
+                continue  # a word of more than a part
+            assert n == len(starts) and np.allclose(got, whole, atol=1e-6)
+    a, b = model.predict(texts), model.predict(texts, 64)
+    assert a[0][:5] == b[0][:5] and np.allclose(a[1][:5], b[1][:5], atol=1e-6) and a[0][4] == "und"
+
+
+MEMORY = """
+import resource, sys
+sys.path.insert(0, {root!r})
+import pyarrow as pa
+import numpy as np
+from cellweave.llm import language_id, quality_model
+from cellweave.llm.textscan import blocks, letter_table
+text = pa.array(["word of a long text, " * {n}, "short"])
+model = language_id.fit([("the cat sat on the mat", "en"), ("der hund und die katze", "de")] * 9)
+scorer = quality_model.Model(np.ones(quality_model.BUCKETS, np.float32), 0.0)
+letter_table()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if {which} == 2:
+    assert sum(len(scorer.score(some.to_pylist())) for some in blocks(text)) == 2
+else:
+    assert len(language_id.predict_column(model, text)[0]) == 2
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("which", [2, 7])
+def test_one_long_text_has_bounded_memory(which):
+    """60 MB of text take less than 1 GB beside the text's own copies."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = MEMORY.format(root=str(Path(__file__).resolve().parents[2]), n=60_000_000 // 21, which=which)
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=True)
+    assert int(out.stdout.split()[-1]) < 1000
 
 
 def test_language_held_out(spark):
@@ -590,6 +687,19 @@ def test_scan_equals_brute_force(spark):
             assert (out[i].n_words, out[i].hits, out[i].items) == (len(said), sorted(hits), sorted(who))
 
 
+def test_equal_tests_are_one_and_slices_hold_what_they_may(spark):
+    long = " ".join(WORDS[:80])
+    rows = [(1, " ".join(WORDS[:12]))] * 500 + [(k, f"{WORDS[k]} x{k} y") for k in range(200)] + [(7, long), (8, None), (9, "")]
+    tests = spark.createDataFrame(rows, "item_id long, text string")
+    slices = list(decontaminate._slices(tests, 300, 10))
+    assert sum(len(s.names) for s in slices) == 202
+    assert all(len(s.names) == 1 or len(s.ids) < 100 for s in slices) and len(slices) > 5
+    assert [len(s.names) for s in decontaminate._slices(tests.limit(0), 300, 10)] == [0]
+    plan = decontaminate.scan_documents(docs_of(spark, ODD), tests, slice_bytes=600)._jdf.queryExecution().toString()
+    branch = plan[plan.index("Union") :].split("== Analyzed")[0]
+    assert branch.count("MapInArrow") == branch.count("Relation")  # each branch has one set
+
+
 def test_window_set_is_bounded():
     import pickle
 
@@ -627,6 +737,24 @@ def test_table_is_even_and_stable(spark):
         sharding.assign_shards(df.withColumn("slot", F.lit(1)), "doc_id", names)
 
 
+def test_names_of_columns_do_not_meet(spark):
+    names = ["ID", "__id", "kept_id", "kept_hash", "__hash", "hash", "key", "__key", "_0", "settled", "starts", "doc", "row", "n"]
+    texts = [" ".join(WORDS[:60]), " ".join(WORDS[:60]), "x " + " ".join(WORDS[100:160]), None]
+    docs = docs_of(spark, texts).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for run in (ngram_join.keep_one, suffix_dedup.remove_repeats, quality_rules.filter_documents):
+        got = run(docs)
+        rows = got.collect()
+        assert got.columns == docs.columns and rows
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    both = suffix_dedup.remove_repeats(docs.withColumnRenamed("n", "id")).collect()
+    assert sorted((r[0], r["ID"], r["id"]) for r in both) == [(i, f"ID{i}", f"n{i}") for i in (0, 2, 3)]
+    taken = docs.withColumns({"slot": F.lit(1), "Shard": F.lit(2), "key": F.lit(3)})
+    placed = sharding.assign_shards(taken, "doc_id", sharding.shard_names(4), 101, ("at", "where"))
+    plain = sharding.assign_shards(docs, "doc_id", sharding.shard_names(4), 101)
+    assert placed.columns == [*taken.columns, "at", "where"]
+    assert sorted((r.doc_id, r["at"], r["where"]) for r in placed.collect()) == sorted((r.doc_id, r.slot, r.shard) for r in plain.collect())
+
+
 # ---- pipeline ----
 
 
