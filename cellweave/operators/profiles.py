@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import half_even, ratio
-from cellweave.operators.spatial import as_points, nearest_within, radius_pairs
+from cellweave.operators.spatial import as_points, nearest_within
 
 c = F.col
 
@@ -67,18 +67,13 @@ def welch_between_genes(summary: DataFrame) -> DataFrame:
 
 
 def nearest_nucleus(reads: DataFrame, cells: DataFrame, radius: float) -> DataFrame:
-    """(sample, x_location, y_location, cell, dist): nearest centroid within the radius, for every distinct place of a read."""
-    at = reads.select("sample", "x_location", "y_location").distinct()
-    p = at.select("sample", F.struct("x_location", "y_location").alias("id"), c("x_location").alias("x"), c("y_location").alias("y"))
-    near = radius_pairs_of_places(p, as_points(cells), radius)
-    best = F.min(F.struct("dist", "dst"))
-    out = near.groupBy("sample", "src").agg(best.alias("b"))
-    return out.select("sample", "src.x_location", "src.y_location", c("b.dst").alias("cell"), c("b.dist").alias("dist"))
-
-
-def radius_pairs_of_places(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """As radius_pairs, for points whose ids are not of the targets' type."""
-    return radius_pairs(points, targets, radius, own=True)
+    """(sample, x_location, y_location, n, cell, dist): nearest centroid within the radius for every distinct place of a read, and how
+    many reads lie there."""
+    at = reads.groupBy("sample", "x_location", "y_location").agg(F.count("*").alias("n"))
+    place = F.struct("x_location", "y_location", "n").alias("id")
+    p = at.select("sample", place, c("x_location").alias("x"), c("y_location").alias("y"))
+    near = nearest_within(p, as_points(cells), radius)
+    return near.select("sample", "src.x_location", "src.y_location", "src.n", c("dst").alias("cell"), "dist")
 
 
 def reads_in_own_radius(reads: DataFrame, cells: DataFrame, radii: DataFrame, most: float) -> DataFrame:
@@ -86,8 +81,7 @@ def reads_in_own_radius(reads: DataFrame, cells: DataFrame, radii: DataFrame, mo
     near = nearest_nucleus(reads, cells, most)
     typed = near.join(cells.select("sample", c("cell_id").alias("cell"), "cell_type"), ["sample", "cell"])
     kept = typed.join(F.broadcast(radii), "cell_type").filter(c("dist") <= c("radius"))
-    met = reads.join(kept.select("sample", "x_location", "y_location", "cell"), ["sample", "x_location", "y_location"])
-    return met.groupBy("sample", "cell").agg(F.count("*").alias("n"))
+    return kept.groupBy("sample", "cell").agg(F.sum("n").alias("n"))
 
 
 def replicate_correlation(totals: DataFrame, sample: str, key: str, value: str) -> DataFrame:

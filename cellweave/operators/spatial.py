@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.scalar import bin_of, euclid
 from cellweave.operators.nearest import tile_neighbours
+from cellweave.operators.within import nearest_targets
 from cellweave.session import materialise
 
 c = F.col
@@ -115,11 +116,9 @@ def radius_graph(cells: DataFrame, radius: float) -> DataFrame:
 def nearest_within(points: DataFrame, targets: DataFrame, distance: float) -> DataFrame:
     """(sample, src, dst, dist): the nearest target within the distance, the least id on ties; points without one are left out.
 
-    The minimum is partially aggregated, so a point in a crowd stays one row.
+    Points and targets meet in blocks of the plane (:mod:`cellweave.operators.within`); no pair becomes a row.
     """
-    near = radius_pairs(points, targets, distance, own=True)
-    first = F.min(F.struct("dist", "dst"))
-    return near.groupBy("sample", "src").agg(first.alias("f")).select("sample", "src", c("f.dst").alias("dst"), c("f.dist").alias("dist"))
+    return nearest_targets(points, targets, distance)
 
 
 def nearest_neighbours(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
