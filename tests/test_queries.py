@@ -46,3 +46,19 @@ def test_sweep_has_every_run(spark):
     assert len({(r.run, r.kind) for r in rows}) == len(rows) == 32
     assert all(-1 <= r.silhouette <= 1 for r in rows)
     assert all(r.ari == 1 for r in rows if r.run == "default")
+
+
+def test_line_items_are_shuffled_twice_at_most(spark):
+    """Orders meet the cells first; only orders and parts meet line items."""
+    from cellweave.plans.fixtures import reads
+
+    plan = reads(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    item = next(i for i, line in enumerate(plan) if "l_orderkey" in line and "Relation" in line)
+    depth = lambda i: len(plan[i]) - len(plan[i].lstrip(" :+-"))
+    above, least = [], depth(item)
+    for i in reversed(range(item)):
+        if depth(i) < least:
+            least = depth(i)
+            above += [i] if i in joins else []
+    assert len(above) == 2
