@@ -10,7 +10,8 @@ opens the next window and is the next seed. If no unused document shares a term
 of the shard goes on. Neighbours are sought within the shard. Only the end of a shard is short of a window; it is cut into
 sequences whose lengths are powers of two, so no token of padding is needed.
 
-Memory is bounded by one shard, the cache of chunks and the table of frequencies, and a task that runs again makes the same
+Memory is bounded by one shard, the cache of chunks and the table of frequent terms; rare terms beyond it are joined to the
+documents that have them. No weight depends on that, and a task that runs again makes the same
 sequences. Sequence ids are (partition, running number).
 
 A document's ids are those of the tokenizer file, without special tokens added, then ``end_id``. A chunk is what ASCII white
@@ -43,8 +44,9 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 #: Tokens of the parts in which the documents of one frequent key are dealt.
 PART_TOKENS = 1 << 16
-#: Entries of the broadcast table of frequencies. Beyond it the rarest terms take the frequency within their shard.
+#: Entries of the broadcast table of frequencies. The rarest terms beyond it come to the documents by a join, with the same numbers.
 MOST_TERMS = 4 << 20
+RARE = "array<struct<term: bigint, docs: bigint>>"
 K1, B = 1.2, 0.75
 #: Chunks kept by a worker's cache; a full cache is started anew.
 CACHE_CHUNKS = 2_000_000
@@ -221,18 +223,29 @@ def _encoder(path: str) -> Encoder:
 
 
 class Frequencies:
-    """In how many of all documents terms are. Terms of one document are absent, and what :func:`frequencies` leaves out."""
+    """In how many of all documents terms are. Terms of one document are absent, and of those beyond the most frequent ones what
+    :meth:`extended` did not add."""
 
-    def __init__(self, terms: np.ndarray, docs: np.ndarray, n: int, mean: float):
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, n: int, mean: float, base: Frequencies | None = None):
         order = np.argsort(terms)
-        self.terms, self.docs, self.n, self.mean = terms[order], docs[order], n, mean
+        self.terms, self.docs, self.n, self.mean, self.base = terms[order], docs[order], n, mean, base
 
     def __call__(self, names: np.ndarray) -> np.ndarray:
         """0 where a term is absent."""
+        found = self.base(names) if self.base else np.zeros(len(names), np.int64)
         if not len(self.terms):
-            return np.zeros(len(names), np.int64)
+            return found
         at = np.minimum(np.searchsorted(self.terms, names), len(self.terms) - 1)
-        return np.where(self.terms[at] == names, self.docs[at], 0)
+        return np.where(self.terms[at] == names, self.docs[at], found)
+
+    def extended(self, rare: list[pa.Array]) -> Frequencies:
+        """With the rare terms of some documents, see :func:`with_rare_terms`."""
+        each = [x.flatten() for x in rare if x.null_count < len(x)]
+        if not each:
+            return self
+        terms, docs = (np.concatenate([x.field(k).to_numpy(zero_copy_only=False) for x in each]) for k in ("term", "docs"))
+        terms, first = np.unique(terms, return_index=True)
+        return Frequencies(terms, docs[first], self.n, self.mean, self)
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
@@ -377,7 +390,12 @@ def _shard_pieces(ids: list, tokens: list[np.ndarray], docs: list, first_sequenc
 
 
 def frequencies(docs: DataFrame, most: int = MOST_TERMS) -> Frequencies:
-    """Document frequencies over all of ``docs``, of terms that at least two documents have; keys -1 and -2 count rows and terms."""
+    """Document frequencies over all of ``docs``, of the most frequent terms that at least two documents have."""
+    return parted(counted_terms(docs), most)[0]
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """(term, docs) over all of ``docs``, of terms that at least two documents have; keys -1 and -2 count rows and terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -401,19 +419,48 @@ def frequencies(docs: DataFrame, most: int = MOST_TERMS) -> Frequencies:
         yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array(whole)], ["term", "docs"])
 
     found = docs.select("text").mapInArrow(run, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    table = materialise(found.filter((F.col("docs") >= 2) | (F.col("term") < 0)), "packing-frequencies")
-    if table.count() > most:
-        total, least = 0, 2
-        for row in table.groupBy("docs").count().orderBy(F.desc("docs")).toLocalIterator():
+    return materialise(found.filter((F.col("docs") >= 2) | (F.col("term") < 0)), "packing-frequencies")
+
+
+def parted(table: DataFrame, most: int = MOST_TERMS) -> tuple[Frequencies, DataFrame | None]:
+    """Frequencies of up to ``most`` of the most frequent terms, and the rows of all others, if there are any."""
+    rest = None
+    if table.count() > most + 2:
+        total, least = 0, None
+        for row in table.filter("term >= 0").groupBy("docs").count().orderBy(F.desc("docs")).toLocalIterator():
             total += row["count"]
             if total > most:
                 break
             least = row["docs"]
-        table = table.filter((F.col("docs") >= least) | (F.col("term") < 0))
+        common = F.lit(False) if least is None else F.col("docs") >= least
+        table, rest = table.filter(common | (F.col("term") < 0)), table.filter(~common & (F.col("term") >= 0))
     got = table.toArrow()
     terms, counts = got["term"].to_numpy().copy(), got["docs"].to_numpy().copy()
     rows, said = (int(counts[terms == k].sum()) for k in (-1, -2))
-    return Frequencies(terms[terms >= 0], counts[terms >= 0], rows, said / max(rows, 1))
+    return Frequencies(terms[terms >= 0], counts[terms >= 0], rows, said / max(rows, 1)), rest
+
+
+def with_rare_terms(docs: DataFrame, shared, rest: DataFrame | None) -> DataFrame:
+    """``docs`` (doc_id, text, salt) with ``rare``: those of its terms, with their frequencies, that are in ``rest``."""
+    if rest is None:
+        return docs.withColumn("rare", F.lit(None).cast(RARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for some in blocks(batch.column(1)):
+                text, term, _ = Chunks(some).terms()
+                left = shared.value(term) == 0
+                row = pa.array(at + text[left])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(2).take(row), pa.array(term[left])], ["rare_id", "rare_salt", "term"]
+                )
+                at += len(some)
+
+    said = docs.mapInArrow(run, "rare_id long, rare_salt long, term long").join(rest, "term")
+    rare = said.groupBy("rare_id", "rare_salt").agg(F.collect_set(F.struct("term", "docs")).cast(RARE).alias("rare"))
+    same = F.col("salt").eqNullSafe(F.col("rare_salt")) & F.col("doc_id").eqNullSafe(F.col("rare_id"))
+    return docs.join(rare, same, "left").select("doc_id", "text", "salt", "rare")
 
 
 def weightiest(chunks: Chunks, known: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,7 +479,8 @@ def weightiest(chunks: Chunks, known: Frequencies) -> tuple[np.ndarray, np.ndarr
 
 
 def dealt(docs: DataFrame, shared, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(doc_id, text), documents of one key next to each other in one partition, or in parts of about ``part_tokens`` tokens."""
+    """(doc_id, text, rare) of (doc_id, text, salt, rare), documents of one key next to each other in one partition, or in parts of
+    about ``part_tokens`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -440,18 +488,17 @@ def dealt(docs: DataFrame, shared, part_tokens: int = PART_TOKENS) -> DataFrame:
             salt = batch.column(2).to_numpy(zero_copy_only=False)
             keys, parts, at = salt.copy(), np.zeros(len(salt), np.int64), 0
             for some in blocks(batch.column(1)):
-                text, term, df = weightiest(Chunks(some), known)
+                text, term, df = weightiest(Chunks(some), known.extended([batch.column(3).slice(at, len(some))]))
                 # A chunk has about two tokens.
                 keys[at + text] = term
                 parts[at + text] = salt[at + text] % (1 + (df * max(known.mean, 1) * 2).astype(np.int64) // part_tokens)
                 at += len(some)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(keys), pa.array(parts)], ["doc_id", "text", "salt", "key", "part"]
+                [*batch.columns, pa.array(keys), pa.array(parts)], ["doc_id", "text", "salt", "rare", "key", "part"]
             )
 
-    salted = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("salt"))
-    keyed = salted.mapInArrow(run, "doc_id long, text string, salt long, key long, part long")
-    return keyed.repartition("key", "part").sortWithinPartitions("key", "part", "salt").select("doc_id", "text")
+    keyed = docs.mapInArrow(run, f"doc_id long, text string, salt long, rare {RARE}, key long, part long")
+    return keyed.repartition("key", "part").sortWithinPartitions("key", "part", "salt").select("doc_id", "text", "rare")
 
 
 def pack(
@@ -460,29 +507,38 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
     shard_tokens: int = SHARD_TOKENS,
+    most_terms: int = MOST_TERMS,
 ) -> DataFrame:
-    """One row per piece: see SCHEMA; ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers."""
+    """One row per piece: see SCHEMA; ``ids`` are the piece's token ids as little-endian unsigned 32-bit integers.
+
+    Frequencies of ``most_terms`` terms are broadcast and the others joined; which are which changes no weight.
+    """
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
     path = tokenizer_path or default_tokenizer()
     _load(path)
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(frequencies(docs))
+    common, rest = parted(counted_terms(docs), most_terms)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    docs = with_rare_terms(docs.withColumn("salt", F.xxhash64("doc_id", "text")), shared, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, sequence, known = _encoder(path), TaskContext.get().partitionId() << 32, shared.value
         names: list = []
         tokens: list[np.ndarray] = []
         said: list[tuple[np.ndarray, np.ndarray]] = []
+        rare: list[pa.Array] = []
         held = 0
         for batch in batches:
-            ids = iter(batch.column(0).to_pylist())
+            ids, at = iter(batch.column(0).to_pylist()), 0
             for some in blocks(batch.column(1)):
                 chunks = Chunks(some, encoder.as_is)
                 text, term, often = chunks.terms()
                 cuts = np.searchsorted(text, np.arange(1, len(some)))
                 said += zip(np.split(term, cuts), np.split(often, cuts))
+                rare.append(batch.column(2).slice(at, len(some)))
+                at += len(some)
                 for t in encoder.encode(chunks):
                     names.append(next(ids))
                     tokens.append(np.append(t, np.array([end_id], t.dtype)))
@@ -490,12 +546,12 @@ def pack(
                 if len(encoder.size) > CACHE_CHUNKS:
                     encoder.reset()
                 if held >= shard_tokens:
-                    n, out = _shard_pieces(names, tokens, said, sequence, window, known)
+                    n, out = _shard_pieces(names, tokens, said, sequence, window, known.extended(rare))
                     yield out
                     sequence += n
-                    names, tokens, said, held = [], [], [], 0
+                    names, tokens, said, rare, held = [], [], [], [], 0
         if names:
-            yield _shard_pieces(names, tokens, said, sequence, window, known)[1]
+            yield _shard_pieces(names, tokens, said, sequence, window, known.extended(rare))[1]
 
     return dealt(docs, shared).mapInArrow(run, SCHEMA)
 

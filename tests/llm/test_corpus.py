@@ -325,6 +325,19 @@ def test_frequencies_and_shards_are_of_all_documents(spark):
     assert sum(abs(placed.index(k) - placed.index(k + n)) == 1 for k in range(n)) > 0.9 * n
 
 
+@pytest.mark.parametrize("most", [0, 60, 150])
+def test_packing_does_not_depend_on_the_terms_that_are_broadcast(spark, most):
+    """The weightiest and the neighbours are those of all documents, wherever the frequencies come from."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, rng.integers(3, 60)) % 400) for _ in range(120)]
+    docs = docs_of(spark, [*texts, None, "", texts[3], texts[3]]).repartition(5)
+    docs = docs.unionByName(docs.filter("doc_id = 3"))  # a repeated row
+    at = lambda m: sorted(map(tuple, packing.pack(docs, window=64, shard_tokens=1500, most_terms=m).collect()))
+    known = packing.frequencies(docs, most)
+    assert len(known.terms) <= most < len(packing.frequencies(docs).terms)
+    assert at(most) == at(packing.MOST_TERMS)
+
+
 # ---- 5 ----
 
 
