@@ -58,3 +58,14 @@ def test_text_ids_and_missing_places(spark):
     got = nearest.tile_neighbours(spark.createDataFrame(rows, "sample string, id string, x double, y double"), 2).collect()
     assert len(got) == 24 and {r.dst for r in got if r.src == "p3"} == {"p2", "p4"}
     assert nearest.tile_neighbours(spark.createDataFrame([], SCHEMA), 2).count() == 0
+
+
+def test_domains_search_neighbours_once(spark, monkeypatch):
+    """The ten neighbours that smooth the domains are the first of the fifteen that make them."""
+    from cellweave import catalog
+    from cellweave.operators import spatial as sp
+
+    calls, search = [], sp.nearest_neighbours
+    monkeypatch.setattr(sp, "nearest_neighbours", lambda *a: calls.append(a) or search(*a))
+    out = catalog.queries()["e7_domains"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and "cell_id" in out.columns
