@@ -248,3 +248,21 @@ def test_kmeans_of_few_rows(spark, n, k, want):
     got = cluster.kmeans(df, "f", k).collect()
     assert len(got) == 3 * n and len({r.cluster for r in got}) == want
     assert len({(tuple(r.f), r.cluster) for r in got}) == n
+
+
+def test_areas_of_all_methods_come_from_one_pass_over_the_reads(spark, tmp_path):
+    """The hulls of several methods are those of each method by itself, and no read is passed to Python twice."""
+    rng = np.random.default_rng(4)
+    rows = [(m, int(i % 2), int(i) if i % 7 else None, *map(float, rng.integers(0, 6, 2))) for m in ("a", "b") for i in rng.integers(0, 30, 300)]
+    reads = spark.createDataFrame(rows, "method string, sample int, cell_id int, x_location double, y_location double")
+    both = hull.cell_areas(reads, ("method",))
+    got = {(r.method, r.sample, r.cell_id): r.area for r in both.collect()}
+    for m in ("a", "b"):
+        one = {(m, r.sample, r.cell_id): r.area for r in hull.cell_areas(reads.filter(F.col("method") == m)).collect()}
+        assert one == pytest.approx({k: v for k, v in got.items() if k[0] == m})
+    for (m, s, i), area in got.items():
+        p = np.array([x[3:] for x in rows if x[:3] == (m, s, i)])
+        k = hull.chain(p)
+        if len(p) > 3 and len(k) > 2 and (real := hull.area_and_perimeter(p[k])[0]) >= 1:
+            assert area == pytest.approx(real)
+    assert "MapInPandas" not in both._jdf.queryExecution().executedPlan().toString()  # written before means and cells meet
