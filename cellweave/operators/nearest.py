@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.tiles import balanced_tiles, deal
-from cellweave.session import materialise
+from cellweave.session import arrow_rows, materialise
 
 c = F.col
 
 #: Points of a tile at least, and width of its halo in mean distances of its points.
 TILE_POINTS, HALO = 1024, 4.0
+#: Tiles that cross to a worker at once.
+TILES = 64
 
 
 def least_of(gap: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +92,13 @@ def tile_neighbours(points: DataFrame, k: int, tile_points: int = TILE_POINTS) -
                     columns = [sample, pa.array(ids[src]), dst, dist, pa.array(x[src]), pa.array(y[src]), pa.array(far)]
                     yield pa.RecordBatch.from_arrays(columns, ["sample", "src", "dst", "dist", "x", "y", "reach"])
 
-    one = materialise(packed.filter(F.exists("rows", lambda r: r["own"])).mapInArrow(first, found), "neighbours")
+    with arrow_rows(points.sparkSession, TILES):
+        one = materialise(packed.filter(F.exists("rows", lambda r: r["own"])).mapInArrow(first, found), "neighbours")
     near = one.filter("dst is not null").select("sample", "src", "dst", "dist")
     todo = one.filter("dst is null").select("sample", c("src").alias("id"), "x", "y", "reach")
     if not todo.isEmpty():
-        rest = materialise(_asked(todo, dealt, tiles, k, kinds), "neighbours")
+        with arrow_rows(points.sparkSession, TILES):
+            rest = materialise(_asked(todo, dealt, tiles, k, kinds), "neighbours")
         order = Window.partitionBy("sample", "src").orderBy("dist", "dst")  # k rows of each tile that was asked
         rest = rest.withColumn("place", F.row_number().over(order)).filter(c("place") <= k).drop("place")
         near = near.unionByName(rest)

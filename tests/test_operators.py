@@ -266,3 +266,21 @@ def test_areas_of_all_methods_come_from_one_pass_over_the_reads(spark, tmp_path)
         if len(p) > 3 and len(k) > 2 and (real := hull.area_and_perimeter(p[k])[0]) >= 1:
             assert area == pytest.approx(real)
     assert "MapInPandas" not in both._jdf.queryExecution().executedPlan().toString()  # written before means and cells meet
+
+
+def test_sums_of_neighbours_are_dealt_to_partitions_by_their_edges(spark, monkeypatch):
+    """Partitions grow with the edges, and no partition adds up rows before they are dealt to the cells they are for."""
+    rng = np.random.default_rng(2)
+    edges = [(0, int(a), int(b), float(d)) for a, b, d in zip(rng.integers(0, 40, 600), rng.integers(0, 40, 600), rng.integers(0, 3, 600))]
+    counts = [(0, i, f"g{g}", int(rng.integers(1, 9))) for i in range(40) for g in range(5) if (i + g) % 3]
+    e = spark.createDataFrame(edges, "sample int, src int, dst int, dist double")
+    n = spark.createDataFrame(counts, "sample int, cell_id int, feature_name string, n long")
+    want: dict = {}
+    for _, src, dst, dist in edges:
+        for _, cell, gene, k in counts:
+            if cell == src and dist > 0:
+                want[dst, gene] = want.get((dst, gene), 0) + k
+    monkeypatch.setattr(neighbors, "PART_EDGES", 20)
+    out = neighbors.neighbour_expression(e, n)
+    assert {(r.cell_id, r.feature_name): r.n for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() == -(-sum(x[3] > 0 for x in edges) // 20)
